@@ -11,10 +11,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from threadlake.functions.jsonindex import StructuralIndex
+from threadlake.schema import struct
 
 #: Bytes of JSON that are indexed at a time; a longer line is indexed alone.
 SLICE_BYTES = 4 << 20
@@ -120,7 +120,7 @@ def shred_lines(lines: DataFrame, id_col: str = "line_id", raw_col: str = "raw")
     Defined results: null, empty, cut off or non-object lines give one ``unreadable`` record; of repeated member names
     the last holds; repeated rows give repeated records; other columns are ignored; an empty table gives no rows.
     """
-    schema = T.StructType.fromDDL(BLOCK_SCHEMA)
+    schema = struct(BLOCK_SCHEMA)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
