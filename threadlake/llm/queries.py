@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.functions.instants import epoch_ms
-from threadlake.llm import conversations, cooccurrence, mixing, packing, quantiles, splitting
+from threadlake.llm import conversations, cooccurrence, mixing, packing, pii, quantiles, splitting
 from threadlake.llm.sql import SQL
 from threadlake.session import staged, table
 
@@ -22,6 +22,25 @@ def p1_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.rebuild_conversations(table(spark, sf_dir, "messages"))
 
 
+#: Secret of the pseudonyms in the registered query; an application passes its own.
+DEMO_KEY = b"threadlake demonstration key"
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "known_names")
+    messages = pii.find_pii(table(spark, sf_dir, "messages"), "line_id", "content_text", names)
+    chunks = pii.find_pii(table(spark, sf_dir, "chunks"), "id", "text", names).distinct()  # some rows repeat exactly
+    return messages.withColumn("source_table", F.lit("messages")).unionByName(chunks.withColumn("source_table", F.lit("chunks"))).select("source_table", "row_key", "kind", "value").where("kind != 'birth_date'")
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tables' texts with placeholders."""
+    names = table(spark, sf_dir, "known_names")
+    messages = pii.redact(table(spark, sf_dir, "messages"), "line_id", "content_text", names, DEMO_KEY)
+    chunks = pii.redact(table(spark, sf_dir, "chunks"), "id", "text", names, DEMO_KEY)
+    return messages.withColumn("source_table", F.lit("messages")).unionByName(chunks.withColumn("source_table", F.lit("chunks")))
+
+
 def _pair_table(spark: SparkSession, sf_dir: str) -> cooccurrence.PairTable:
     """The pair table of all sessions: to an empty table every basket is a change."""
     sessions = table(spark, sf_dir, "sessions")
@@ -115,7 +134,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_conversations, p4_found, p4_pairs, p5_found, p5_percentiles, p5_weekly, p7_found, p7_containers, p7_totals,
+        p1_found, p1_conversations, p3_found, p3_redacted, p4_found, p4_pairs, p5_found, p5_percentiles, p5_weekly, p7_found, p7_containers, p7_totals,
         p8_found, p8_shares, p8_selection, p9_found, p9_pieces,
     )
 }
