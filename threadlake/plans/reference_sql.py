@@ -18,8 +18,8 @@ _HEADS = (
     _LINES
     + """, heads AS (SELECT session_id, arg_min(ms, line_no) FILTER (ms IS NOT NULL) AS first_ms, arg_min(cwd, line_no) FILTER (regexp_matches(cwd, '\\S')) AS cwd FROM talk GROUP BY 1),
 said AS (SELECT session_id, arg_min(txt, line_no) FILTER (role = 'user') AS first_text, count(*) FILTER (role = 'user') AS n_user, count(*) AS n_turns FROM t GROUP BY 1),
-gaps AS (SELECT session_id, least(ms - lag(ms) OVER (PARTITION BY session_id ORDER BY ms), 900000) AS gap FROM l WHERE ms IS NOT NULL),
-dur AS (SELECT session_id, CAST(round(coalesce(sum(gap), 0) / 1000) AS BIGINT) AS duration_seconds FROM gaps GROUP BY 1),
+gaps AS (SELECT session_id, ms - lag(ms) OVER (PARTITION BY session_id ORDER BY ms) AS gap FROM l WHERE ms IS NOT NULL),
+dur AS (SELECT session_id, CAST(round(coalesce(sum(CASE WHEN gap > 900000 THEN 900000 ELSE gap END), 0) / 1000) AS BIGINT) AS duration_seconds FROM gaps GROUP BY 1),
 every AS (SELECT session_id, max(ms) AS last_message_at, count(*) AS n_lines FROM l GROUP BY 1),
 h AS (SELECT session_id, substring(first_text, 1, 120) AS title, coalesce(strftime(make_timestamp(first_ms * 1000), '%Y-%m-%d'), '') AS date,
   coalesce(string_split(regexp_replace(cwd, '/+$', ''), '/')[-1], '') AS project, coalesce(n_user, 0) AS n_user, coalesce(n_turns, 0) AS n_turns, n_lines, last_message_at,
@@ -134,8 +134,8 @@ SELECT line_id, block_path, tool || ': `' || CASE WHEN length(raw) > 80 THEN sub
     "preview": "SELECT doc_id, CASE WHEN length(text) > 300 THEN substring(text, 1, 300) || '…' ELSE text END AS preview FROM documents",
     "content_hash": "SELECT doc_id, sha256(text) AS hash FROM documents",
     "chunk_sessions": "SELECT regexp_replace(id, '_[^_]*$', '') AS session_id, count(DISTINCT id) AS n_chunks FROM chunks GROUP BY 1",
-    "active_duration": """WITH g AS (SELECT user_id, least(epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts), 900000) AS gap FROM events WHERE ts IS NOT NULL)
-SELECT user_id, CAST(round(coalesce(sum(gap), 0) / 1000) AS BIGINT) AS duration_seconds FROM g GROUP BY 1""",
+    "active_duration": """WITH g AS (SELECT user_id, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events WHERE ts IS NOT NULL)
+SELECT user_id, CAST(round(coalesce(sum(CASE WHEN gap > 900000 THEN 900000 ELSE gap END), 0) / 1000) AS BIGINT) AS duration_seconds FROM g GROUP BY 1""",
     "term_stats": "WITH " + _bm25(True, True) + "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY 1",
     "corpus_stats": "WITH " + _bm25(True, True) + "SELECT n_docs, round(avgdl, 6) AS avgdl FROM st",
     "bm25_all": "WITH " + _bm25(True, True) + _TEN.format("found"),
