@@ -208,13 +208,24 @@ def rebuild_conversations(messages: DataFrame, with_text: bool = True) -> DataFr
     )
     # Places within a partition become turn numbers by the counts of the partitions before.
     before = Window.partitionBy("session_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # So do replies: a turn may answer one that went before its partition.
+    last = {r: F.max_by("line_no", F.when(F.col("role") == r, F.col("place"))).alias(r) for r in ("user", "assistant")}
     offsets = (
-        turns.groupBy("session_id", "part").agg(F.count("*").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .select(F.col("session_id").alias("s"), F.col("part").alias("p"), "offset")
+        turns.groupBy("session_id", "part").agg(F.count("*").alias("n"), *last.values())
+        .withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .select(
+            F.col("session_id").alias("s"), F.col("part").alias("p"), "offset",
+            *[F.last(r, ignorenulls=True).over(before).alias(f"last_{r}") for r in last],
+        )
     )
     kept = turns.join(whole, F.col("session_id").eqNullSafe(F.col("whole_id")), "left_semi")
     numbered = kept.join(offsets, F.col("session_id").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).select(
-        "session_id", (F.col("offset") + F.col("place")).cast("bigint").alias("turn_no"), "role", "instant_ms", "line_no", "reply_to"
+        "session_id",
+        (F.col("offset") + F.col("place")).cast("bigint").alias("turn_no"),
+        "role",
+        "instant_ms",
+        "line_no",
+        F.coalesce("reply_to", F.when(F.col("role") == "user", F.col("last_assistant")).otherwise(F.col("last_user"))).alias("reply_to"),
     )
     if not with_text:
         return numbered

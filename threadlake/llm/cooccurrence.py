@@ -95,7 +95,7 @@ class PairTable:
         """Write rows as ``bucket=b`` folders of a new version; the manifest entries of the buckets written."""
         root = f"{self.path}/{name}/v={self.version + 1}"
         rows.withColumn("part", F.col("bucket")).write.partitionBy("part").parquet(root)
-        there = self.spark.read.parquet(root).select("part").distinct().collect()  # at most ``buckets`` rows
+        there = self.spark.read.schema(f"{self.SCHEMAS[name]}, part int").parquet(root).select("part").distinct().collect()  # at most ``buckets`` rows
         return {r[0]: f"{root}/part={r[0]}" for r in there}
 
     def _stage(self, rows: DataFrame, name: str) -> DataFrame:
