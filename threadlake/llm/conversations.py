@@ -177,7 +177,7 @@ def conversation_defects(messages: DataFrame) -> DataFrame:
     Defined results: a line is counted once per (session_id, line_no); a null session is a session of its own; instants that
     can't be read or inferred go first; blank texts are no turns; other columns are ignored; an empty table gives no rows.
     """
-    lines = unique_lines(messages)
+    lines = staged(unique_lines(messages), "lines")  # read by the blocks, by what they hand on and by the check for empty ones
     turns = ordered_turns(filled_instants(lines))
     first = F.min_by("role", F.struct(F.col("instant_ms").isNotNull(), "instant_ms", "line_no"))
     checked = turns.groupBy("session_id").agg(
@@ -197,7 +197,7 @@ def rebuild_conversations(messages: DataFrame, with_text: bool = True) -> DataFr
     Sessions with any defect are dropped. ``turn_no`` counts from 0 over all partitions of a session. Defined results as in
     ``conversation_defects``.
     """
-    lines = filled_instants(unique_lines(messages))
+    lines = filled_instants(staged(unique_lines(messages), "lines"))
     turns = ordered_turns(lines)
     first = F.min_by("role", F.struct(F.col("instant_ms").isNotNull(), "instant_ms", "line_no"))
     whole = (
