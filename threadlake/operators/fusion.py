@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlake.operators.lexical import bm25, top_per_query
+from threadlake.operators.lexical import bm25_top, top_per_query
 from threadlake.operators.vectors import knn
 
 RRF = 60
@@ -46,7 +46,7 @@ def hybrid_search(
     """
     if keep is not None and prefilter:
         docs, vectors = docs.join(keep, "doc_id", "left_semi"), vectors.join(keep.withColumnRenamed("doc_id", "vec_id"), "vec_id", "left_semi")
-    lexical = top_per_query(bm25(docs, queries, "doc_id", "text", compat=compat), [F.round("rank", 9), F.col("doc_id")], 5 * k, "bm25_rk")
+    lexical = bm25_top(docs, queries, "doc_id", "text", 5 * k, compat=compat, digits=9).withColumnRenamed("rk", "bm25_rk")
     vector = knn(vectors, queries, 5 * k).select("query_id", F.col("id").alias("doc_id"), F.col("rk").alias("knn_rk"))
     fused = fuse(lexical, vector)
     if keep is not None and not prefilter:

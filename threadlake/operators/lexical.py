@@ -1,20 +1,27 @@
 """Lexical retrieval: postings, BM25 in batch, highlights and snippets.
 
-A batch of queries is one job. Every term of a query must occur (or any of them). For "all terms" the candidates of a query come from its rarest
-term only and are then checked against the other terms by an equi-join on (term, document), so a term that stands in a
-third of all documents is never expanded for each query that holds it.
+A batch of queries is one job. Every term of a query must occur (or any of them). The best matches come from blocks of posting lists (``bm25_top``);
+where all matches are wanted, the candidates of a query come from its rarest term only and are then checked against the other terms by an
+equi-join on (term, document), so a term that stands in a third of all documents is never expanded for each query that holds it.
 """
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from threadlake.session import staged
 
 K1, B = 1.2, 0.75
+MAX_BROADCAST_TERMS = 500_000
+MARK = "\u0001"  # never part of a token
 
 
 def _accents() -> tuple[str, str]:
@@ -73,33 +80,138 @@ def _score(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Colu
     return F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, mode: str = "all", compat: bool = True, exclude: DataFrame | None = None) -> DataFrame:
-    """``query_id, doc_id, rank`` of every match; ``rank`` is negative, lower is better.
+def weighted_postings(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, by: str | None = None, extra_tokens: int = 1) -> DataFrame:
+    """``doc_id, [by,] term, df, w`` of the asked terms (``term``): ``w`` is the term's part of the score. Texts are read and cut once.
 
-    ``mode`` "all" wants every term of a query, "any" at least one. ``exclude`` (``query_id, term``) drops documents that hold such a
-    term. A term that stands twice in a query counts twice. Documents of equal id are one document each; null texts match nothing.
+    Beside its terms each document leaves a marker row, from which the number of documents and their mean length come. The terms are
+    broadcast up to ``MAX_BROADCAST_TERMS``; beyond that Spark joins by shuffle, for which the markers are spread.
     """
-    post = postings(docs, id_col, text_col)
-    stats = corpus_stats(docs, text_col)
-    terms = query_terms(queries, compat=compat)
-    vocabulary = terms.select("term").distinct()
-    used = post.join(vocabulary, "term", "left_semi")
+    keys = ["doc_id", *([by] if by else [])]
+    vocabulary = staged(terms.select("term").distinct(), "vocabulary")
+    small = vocabulary.count() <= MAX_BROADCAST_TERMS
+    marker = F.concat(F.lit(MARK), F.pmod(F.xxhash64(id_col), F.lit(1024)).cast("string"))
+    toks = docs.select(F.col(id_col).alias("doc_id"), *([F.col(by)] if by else []), F.coalesce(tokens(text_col), F.array().cast("array<string>")).alias("t"), marker.alias("m"))
+    rows = toks.select(*keys, (F.size("t") + extra_tokens).alias("dl"), F.explode(F.array_append("t", F.col("m"))).alias("term"))
+    asked = vocabulary.withColumn("asked", F.lit(True))
+    kept = rows.join(F.broadcast(asked) if small else asked, "term", "left").where(F.col("asked") | F.col("term").startswith(MARK))
+    post = staged(kept.groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf")), "postings")
+    n, total = post.where(F.col("term").startswith(MARK)).agg(F.sum("tf"), F.sum(F.col("dl") * F.col("tf"))).first()
+    used = post.where(~F.col("term").startswith(MARK))
     df = used.groupBy("term").agg(F.count("*").alias("df"))
-    known = terms.join(df, "term", "inner" if mode == "any" else "left")
+    score = _score(F.col("tf"), F.col("dl"), F.col("df"), F.lit(float(n or 0)), F.lit((total or 0) / (n or 1)))
+    return used.join(F.broadcast(df) if small else df, "term").select(*keys, "term", "df", score.alias("w"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, mode: str = "all", compat: bool = True) -> DataFrame:
+    """``query_id, doc_id, rank`` of every match; ``rank`` is negative, lower is better. For the best of each query see ``bm25_top``.
+
+    ``mode`` "all" wants every term of a query, "any" at least one. A term that stands twice in a query counts twice. Documents of equal id are
+    one document each; null texts match nothing.
+    """
+    terms = staged(query_terms(queries, compat=compat), "terms")
+    used = weighted_postings(docs, terms, id_col, text_col)
     if mode == "any":
-        hits = known.join(used, "term")
+        hits = terms.join(used, "term")
     else:
-        whole = known.withColumn("ok", F.count("df").over(Window.partitionBy("query_id")) == F.col("n_terms")).where("ok").drop("ok")
-        rarest = whole.groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("r")).select("query_id", F.col("r.term").alias("term"))
+        df = used.select("term", "df").distinct()
+        whole = terms.join(df, "term", "left").withColumn("ok", F.count("df").over(Window.partitionBy("query_id")) == F.col("n_terms")).where("ok").drop("ok", "df")
+        rarest = whole.join(df, "term").groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("r")).select("query_id", F.col("r.term").alias("term"))
         candidates = rarest.join(used.select("term", "doc_id"), "term").select("query_id", "doc_id")
         hits = candidates.join(whole, "query_id").join(used, ["term", "doc_id"])
-    scored = hits.crossJoin(stats).withColumn("s", F.col("qtf") * _score(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"), F.col("avgdl")))
-    agg = scored.groupBy("query_id", "doc_id").agg((-F.sum("s")).alias("rank"), F.count("*").alias("n"), F.first("n_terms").alias("n_terms"))
-    found = (agg if mode == "any" else agg.where("n = n_terms")).select("query_id", "doc_id", "rank")
-    if exclude is not None:
-        banned = exclude.select("query_id", F.explode(tokens("term")).alias("term")).join(post.select("term", "doc_id"), "term").select("query_id", "doc_id")
-        found = found.join(banned, ["query_id", "doc_id"], "left_anti")
-    return found
+    agg = hits.groupBy("query_id", "doc_id").agg((-F.sum(F.col("qtf") * F.col("w"))).alias("rank"), F.count("*").alias("n"), F.first("n_terms").alias("n_terms"))
+    return (agg if mode == "any" else agg.where("n = n_terms")).select("query_id", "doc_id", "rank")
+
+
+def bm25_top(
+    docs: DataFrame,
+    queries: DataFrame,
+    id_col: str,
+    text_col: str,
+    k: int,
+    mode: str = "all",
+    compat: bool = True,
+    exclude: DataFrame | None = None,
+    by: str | None = None,
+    digits: int = 6,
+    postings_per_block: int = 200_000,
+    terms_per_block: int = 100_000,
+) -> DataFrame:
+    """The best ``k`` matches of each query: ``query_id, doc_id, rank, rk``, or the best groups ``query_id, <by>, rank, rk`` by their best document.
+
+    As ``bm25``, but queries of equal terms are scored once, and all queries meet all postings in blocks: documents are dealt by hash into
+    blocks of bounded size, each block adds up its posting lists per query and keeps the best k, and a last step keeps the best over all
+    blocks. So no match below the best k of its block is ever written out. Ranks are rounded to ``digits``, ties go to the lower id. ``exclude``
+    (``query_id, term``) drops documents that hold such a term. Null ids aren't defined; null texts and empty tables match nothing.
+    """
+    terms = query_terms(queries, compat=compat).select("query_id", "term", F.col("qtf").cast("bigint"))
+    if exclude is not None:  # a count of 0 marks a term that must not occur
+        banned = exclude.select("query_id", F.explode(tokens("term")).alias("term")).distinct().join(terms.select("query_id").distinct(), "query_id", "left_semi")
+        terms = terms.unionByName(banned.select("query_id", "term", F.lit(0).cast("bigint").alias("qtf")))
+    # The terms of one query text, as the name of all queries that hold the same.
+    named = staged(terms.groupBy("query_id").agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("term", "qtf")))), 256).alias("ask"), F.sort_array(F.collect_list(F.struct("term", "qtf"))).alias("ts")), "asks")
+    asks = named.groupBy("ask").agg(F.first("ts").alias("ts")).select("ask", F.explode("ts").alias("t")).select("ask", "t.term", "t.qtf")
+    used = weighted_postings(docs, asks, id_col, text_col, by)
+    r = max(1, math.ceil(used.count() / postings_per_block))
+    q = max(1, math.ceil(asks.count() / terms_per_block))
+    left = used.withColumn("rb", F.pmod(F.xxhash64("doc_id"), F.lit(r))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q - 1))))
+    right = asks.withColumn("qb", F.pmod(F.xxhash64("ask"), F.lit(q)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(r - 1).cast("bigint"))))
+    key = by or "doc_id"
+
+    def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out: tuple[list, list, list] = ([], [], [])
+        if not a.empty and not b.empty:
+            for ask, found, rank in _best_of_block(a, b, key, k, mode, digits):
+                out[0].extend([ask] * len(found))
+                out[1].extend(found)
+                out[2].extend(rank)
+        return pd.DataFrame({"ask": out[0], key: out[1], "rank": out[2]})
+
+    schema = T.StructType([T.StructField("ask", T.StringType()), T.StructField(key, used.schema[key].dataType), T.StructField("rank", T.DoubleType())])
+    best = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(block, schema)
+    if by:
+        best = best.groupBy("ask", by).agg(F.min("rank").alias("rank"))
+    top = best.withColumn("rk", F.row_number().over(Window.partitionBy("ask").orderBy("rank", key))).where(F.col("rk") <= k)
+    return named.select("query_id", "ask").join(top, "ask").select("query_id", key, "rank", "rk")
+
+
+def _best_of_block(a: pd.DataFrame, b: pd.DataFrame, key: str, k: int, mode: str, digits: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(ask, keys, ranks) of the best ``k`` in one block of postings ``a`` for each ask of ``b``."""
+    ids, first, doc = np.unique(a["doc_id"].to_numpy(), return_index=True, return_inverse=True)
+    keys, group = np.unique(a[key].to_numpy()[first], return_inverse=True) if key != "doc_id" else (ids, None)
+    codes, words = pd.factorize(a["term"])
+    order = np.argsort(codes, kind="stable")
+    ends = np.searchsorted(codes[order], np.arange(len(words) + 1))
+    doc, w = doc[order], a["w"].to_numpy()[order]
+    place = {t: i for i, t in enumerate(words)}
+    b = b.sort_values("ask", kind="stable", ignore_index=True)
+    starts = np.flatnonzero(b["ask"].ne(b["ask"].shift()).to_numpy()).tolist() + [len(b)]
+    asks, terms, counts = b["ask"].tolist(), b["term"].tolist(), b["qtf"].tolist()
+    n = len(ids)
+    for lo, hi in zip(starts, starts[1:]):
+        lists = [(place.get(terms[i]), counts[i]) for i in range(lo, hi)]
+        wanted = [x for x in lists if x[1]]
+        if all(p is None for p, _ in wanted) or mode == "all" and any(p is None for p, _ in wanted):
+            continue
+        score, held, out = np.zeros(n), np.zeros(n, np.int32), np.zeros(n, bool)
+        for p, qtf in lists:
+            if p is None:
+                continue
+            at = doc[ends[p] : ends[p + 1]]
+            if qtf:
+                score += qtf * np.bincount(at, w[ends[p] : ends[p + 1]], n)
+                held += np.bincount(at, minlength=n) > 0
+            else:
+                out[at] = True
+        hit = np.flatnonzero(((held == len(wanted)) if mode == "all" else (held > 0)) & ~out)
+        rank = np.round(-score[hit], digits) + 0.0
+        ordered = np.argsort(rank, kind="stable")
+        hit, rank = hit[ordered], rank[ordered]
+        if group is not None:  # the first document of each group, groups of equal rank in their own order
+            g, at = np.unique(group[hit], return_index=True)
+            ordered = np.argsort(rank[at], kind="stable")[:k]
+            yield asks[lo], keys[g[ordered]], rank[at][ordered]
+        else:
+            yield asks[lo], keys[hit[:k]], rank[:k]
 
 
 def top_per_query(rows: DataFrame, order: list[Column], k: int | Column, name: str = "rk") -> DataFrame:
@@ -113,8 +225,6 @@ def highlight(rows: DataFrame, text_col: str, terms_col: str, window: int = 150)
 
     ``terms_col`` holds the folded terms of the row's query. Without a mark the snippet is the first ``2 * window`` characters.
     """
-    from pyspark.sql import types as T
-
     schema = T.StructType([*rows.schema.fields, T.StructField("highlighted", T.StringType()), T.StructField("snippet", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -100,9 +100,9 @@ def _asked(spark: SparkSession, d: str, text_only: bool = True) -> DataFrame:
     return audit.select(F.col("id").alias("query_id"), "query")
 
 
-def _found(rows: DataFrame, k: int = 10) -> DataFrame:
-    top = lexical.top_per_query(rows.withColumn("rank", F.round("rank", 6)), [F.col("rank"), F.col("doc_id")], k)
-    return top.select("query_id", "doc_id", "rank", "rk")
+def _best(spark: SparkSession, d: str, **how) -> DataFrame:
+    """The ten best documents of each search."""
+    return lexical.bm25_top(table(spark, d, "documents"), _asked(spark, d), "doc_id", "text", 10, **how)
 
 
 @query
@@ -120,26 +120,25 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 @query
 def bm25_all(spark: SparkSession, d: str) -> DataFrame:
     """Every search of the set, all terms required, ten best."""
-    return _found(lexical.bm25(table(spark, d, "documents"), _asked(spark, d), "doc_id", "text"))
+    return _best(spark, d)
 
 
 @query
 def bm25_any(spark: SparkSession, d: str) -> DataFrame:
     """Any term suffices; split words instead of the strict grammar."""
-    return _found(lexical.bm25(table(spark, d, "documents"), _asked(spark, d), "doc_id", "text", mode="any", compat=False))
+    return _best(spark, d, mode="any", compat=False)
 
 
 @query
 def bm25_not(spark: SparkSession, d: str) -> DataFrame:
     """All terms, without the documents that hold "index"."""
-    asked = _asked(spark, d)
-    return _found(lexical.bm25(table(spark, d, "documents"), asked, "doc_id", "text", exclude=asked.select("query_id", F.lit("index").alias("term"))))
+    return _best(spark, d, exclude=_asked(spark, d).select("query_id", F.lit("index").alias("term")))
 
 
 @query
 def highlight_snippets(spark: SparkSession, d: str) -> DataFrame:
     docs, asked = table(spark, d, "documents"), _asked(spark, d)
-    top = lexical.top_per_query(lexical.bm25(docs, asked, "doc_id", "text"), [F.round("rank", 6), F.col("doc_id")], 10)
+    top = _best(spark, d)
     terms = lexical.query_terms(asked).groupBy("query_id").agg(F.collect_set("term").alias("terms"))  # terms of one query text
     rows = top.select("query_id", "doc_id").join(terms, "query_id").join(docs.select("doc_id", "text"), "doc_id")
     return lexical.highlight(rows, "text", "terms").select("query_id", "doc_id", "snippet")
@@ -169,7 +168,7 @@ def _projects(spark: SparkSession, d: str) -> DataFrame:
 @query
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     asked = _hybrid_queries(spark, d)
-    lex = lexical.top_per_query(lexical.bm25(table(spark, d, "documents"), asked, "doc_id", "text"), [F.round("rank", 9), F.col("doc_id")], 50, "bm25_rk")
+    lex = lexical.bm25_top(table(spark, d, "documents"), asked, "doc_id", "text", 50, digits=9).withColumnRenamed("rk", "bm25_rk")
     vec = vectors.knn(table(spark, d, "embeddings"), asked, 50).select("query_id", F.col("id").alias("doc_id"), F.col("rk").alias("knn_rk"))
     return fusion.fuse(lex, vec).select("query_id", "doc_id", "bm25_rk", "knn_rk", F.round("score", 9).alias("score"))
 
@@ -397,9 +396,8 @@ def jsonpath_extract(spark: SparkSession, d: str) -> DataFrame:
 def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Sessions retrieved for each search (best document of a session) and the one it was after."""
     docs = table(spark, d, "documents").where("session_id IS NOT NULL")
-    found = lexical.bm25(docs, _asked(spark, d), "doc_id", "text", mode="any", compat=False).withColumn("rank", F.round("rank", 6))
-    best = found.join(docs.select("doc_id", F.col("session_id").alias("item")), "doc_id").groupBy("query_id", "item").agg(F.min("rank").alias("rank"))
-    retrieved = lexical.top_per_query(best, [F.col("rank"), F.col("item")], 50).select("query_id", "item", "rk")
+    found = lexical.bm25_top(docs, _asked(spark, d), "doc_id", "text", 50, mode="any", compat=False, by="session_id")
+    retrieved = found.select("query_id", F.col("session_id").alias("item"), "rk")
     relevant = table(spark, d, "query_audit").where("id % 20 = 0 AND top_session_id IS NOT NULL").select(F.col("id").alias("query_id"), F.col("top_session_id").alias("item")).distinct()
     return retrieved, relevant
 
