@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadlake.session import staged
+from threadlake.session import spread, staged
 
 K1, B = 1.2, 0.75
 MAX_BROADCAST_TERMS = 500_000
@@ -51,7 +51,7 @@ def postings(docs: DataFrame, id_col: str, text_col: str, extra_tokens: int = 1)
 
     Term counts are partially aggregated where a document is read, so only finished counts are shuffled.
     """
-    toks = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(tokens(text_col), F.array().cast("array<string>")).alias("t"))
+    toks = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id").select("doc_id", F.coalesce(tokens("text"), F.array().cast("array<string>")).alias("t"))
     terms = toks.select("doc_id", (F.size("t") + extra_tokens).alias("dl"), F.explode("t").alias("term"))
     return terms.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")).select("doc_id", "term", "tf", "dl")
 
@@ -89,8 +89,9 @@ def weighted_postings(docs: DataFrame, terms: DataFrame, id_col: str, text_col:
     keys = ["doc_id", *([by] if by else [])]
     vocabulary = staged(terms.select("term").distinct(), "vocabulary")
     small = vocabulary.count() <= MAX_BROADCAST_TERMS
-    marker = F.concat(F.lit(MARK), F.pmod(F.xxhash64(id_col), F.lit(1024)).cast("string"))
-    toks = docs.select(F.col(id_col).alias("doc_id"), *([F.col(by)] if by else []), F.coalesce(tokens(text_col), F.array().cast("array<string>")).alias("t"), marker.alias("m"))
+    read = spread(docs.select(F.col(id_col).alias("doc_id"), *([F.col(by)] if by else []), F.col(text_col).alias("_text")), "doc_id")
+    marker = F.concat(F.lit(MARK), F.pmod(F.xxhash64("doc_id"), F.lit(1024)).cast("string"))
+    toks = read.select(*keys, F.coalesce(tokens("_text"), F.array().cast("array<string>")).alias("t"), marker.alias("m"))
     rows = toks.select(*keys, (F.size("t") + extra_tokens).alias("dl"), F.explode(F.array_append("t", F.col("m"))).alias("term"))
     asked = vocabulary.withColumn("asked", F.lit(True))
     kept = rows.join(F.broadcast(asked) if small else asked, "term", "left").where(F.col("asked") | F.col("term").startswith(MARK))

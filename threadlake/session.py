@@ -49,6 +49,12 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt over all cores where its files give fewer tasks than there are cores (a table of one file); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A supplied table; zone-less timestamps are read as UTC instants."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
