@@ -5,10 +5,10 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
-from threadlake.plans import problem_queries, reference_queries, reference_sql
+from threadlake.plans import problem_queries, reference_queries, reference_sql, report_queries
 
-QUERIES = {**problem_queries.QUERIES, **reference_queries.QUERIES}
-SQL = {**problem_queries.SQL, **reference_sql.SQL}
+QUERIES = {**problem_queries.QUERIES, **reference_queries.QUERIES, **report_queries.QUERIES}
+SQL = {**problem_queries.SQL, **reference_sql.SQL, **report_queries.SQL}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

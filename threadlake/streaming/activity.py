@@ -17,8 +17,14 @@ def event_stream(spark: SparkSession, path: str, schema: T.StructType, ts: str =
     return raw.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
 
 
-def tumbling(events: DataFrame, width: str, ts: str = "ts", keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
-    return events.groupBy(F.window(ts, width), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+def tumbling(events: DataFrame, width: str, ts: str = "ts", keys: tuple[str, ...] = ("event_type",), slide: str | None = None) -> DataFrame:
+    """Counts and sums per window; with ``slide`` the windows overlap."""
+    return events.groupBy(F.window(ts, width, slide), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def last_values(events: DataFrame, width: str, ts: str = "ts", keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
+    """The newest value per window and key."""
+    return events.groupBy(F.window(ts, width), *keys).agg(F.max_by("value", F.struct(ts, "value")).alias("value"))
 
 
 def sessions(events: DataFrame, gap: str, key: str = "user_id", ts: str = "ts") -> DataFrame:
@@ -26,12 +32,20 @@ def sessions(events: DataFrame, gap: str, key: str = "user_id", ts: str = "ts")
     return events.groupBy(F.session_window(ts, gap), key).agg(F.count("*").alias("n"))
 
 
-def run_available(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run the stream over what is there and give the result table; state and offsets lie in the shared folder."""
-    spark = df.sparkSession
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", new_path(spark, f"ckpt-{name}")).trigger(availableNow=True).start()
+def run_available(df: DataFrame, name: str) -> DataFrame:
+    """Run the stream over what is there and give the result table.
+
+    The table of each batch is written by the executors to the shared folder, beside state and offsets; the last one is the result.
+    """
+    spark, path, done = df.sparkSession, new_path(df.sparkSession, name), []
+
+    def take(batch: DataFrame, no: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{no}")  # a repeated batch replaces its own folder
+        done.append(no)
+
+    q = df.writeStream.outputMode("complete").foreachBatch(take).queryName(name).option("checkpointLocation", new_path(spark, f"ckpt-{name}")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(f"{path}/{max(done)}") if done else spark.createDataFrame([], df.schema)
 
 
 def each_batch(stream: DataFrame, take: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
