@@ -165,7 +165,7 @@ def bm25_top(
                 out[0].extend([ask] * len(found))
                 out[1].extend(found)
                 out[2].extend(rank)
-        return pd.DataFrame({"ask": out[0], key: out[1], "rank": out[2]})
+        return pd.DataFrame({"ask": pd.Series(out[0], dtype=object), key: pd.Series(out[1], dtype=object), "rank": pd.Series(out[2], dtype=float)})
 
     schema = T.StructType([T.StructField("ask", T.StringType()), T.StructField(key, used.schema[key].dataType), T.StructField("rank", T.DoubleType())])
     best = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(block, schema)
