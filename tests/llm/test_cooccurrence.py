@@ -55,3 +55,14 @@ def test_large_baskets_are_cut_into_squares(spark):
     want = Counter(combinations(items, 2))
     want.update(p for p in combinations(items, 2) if p[1] not in items[:30])
     assert got == dict(want)
+
+
+def test_table_is_taken_up_again(spark):
+    state = {str(i): [f"t{i % 3}", f"t{i % 4 + 2}", "all"] for i in range(30)}
+    table = PairTable(spark, buckets=4)
+    table.apply(baskets_of(spark.createDataFrame(list(state.items()), "id string, tags array<string>"), "id", {"tag": "tags"}))
+    again = PairTable.open(spark, table.path)
+    assert held(again) == counted(state)
+    state["1"], state["new"] = [], ["t1", "t9"]
+    again.apply(baskets_of(spark.createDataFrame([(k, state[k]) for k in ("1", "new")], "id string, tags array<string>"), "id", {"tag": "tags"}))
+    assert held(PairTable.open(spark, table.path)) == counted(state)

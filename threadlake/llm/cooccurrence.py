@@ -65,8 +65,9 @@ def _signed_pairs(changed: DataFrame, salt_from: int = SIDE) -> DataFrame:
 class PairTable:
     """Persistent pair counts below ``path``: baskets, marginals, pairs and totals, the first three in hash buckets.
 
-    Each ``apply`` writes new files for the touched buckets only and then moves the manifest (bucket -> file set), which is held
-    here; a failed ``apply`` leaves the table as it was. ``buckets`` bounds the manifest.
+    Each ``apply`` writes new files for the touched buckets only and then a new manifest (bucket -> file set, totals), which is held
+    here and beside the data; a failed ``apply`` leaves the table as it was and may be repeated. ``buckets`` bounds the manifest. ``open``
+    takes up a table where its last manifest left it. One writer at a time.
     """
 
     SCHEMAS = {
@@ -82,6 +83,28 @@ class PairTable:
         self.totals: dict[str, int] = {}
         self.version = 0
 
+    MANIFEST = "name string, bucket int, path string, kind string, total bigint, buckets int"
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> PairTable:
+        """The table below ``path`` as of its newest manifest; raises where there is none."""
+        every = spark.read.schema(f"{cls.MANIFEST}, v int").json(f"{path}/manifest")
+        rows = every.where(F.col("v") == every.agg(F.max("v")).first()[0]).collect()  # a row per bucket and kind
+        table = cls(spark, path, rows[0].buckets)
+        table.version = rows[0].v
+        for r in rows:
+            if r.name:
+                table.files[r.name][r.bucket] = r.path
+            elif r.kind is not None:
+                table.totals[r.kind] = r.total
+        return table
+
+    def _save(self) -> None:
+        rows = [(name, b, p, None, None, self.buckets) for name, files in self.files.items() for b, p in files.items()]
+        rows += [(None, None, None, kind, n, self.buckets) for kind, n in self.totals.items()]
+        rows = rows or [(None, None, None, None, None, self.buckets)]
+        self.spark.createDataFrame(rows, self.MANIFEST).coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest/v={self.version}")
+
     def _bucket(self, *cols: str):
         return F.pmod(F.xxhash64(*cols), F.lit(self.buckets)).cast("int")
 
@@ -94,13 +117,13 @@ class PairTable:
     def _write(self, name: str, rows: DataFrame) -> dict[int, str]:
         """Write rows as ``bucket=b`` folders of a new version; the manifest entries of the buckets written."""
         root = f"{self.path}/{name}/v={self.version + 1}"
-        rows.withColumn("part", F.col("bucket")).write.partitionBy("part").parquet(root)
+        rows.withColumn("part", F.col("bucket")).write.mode("overwrite").partitionBy("part").parquet(root)
         there = self.spark.read.schema(f"{self.SCHEMAS[name]}, part int").parquet(root).select("part").distinct().collect()  # at most ``buckets`` rows
         return {r[0]: f"{root}/part={r[0]}" for r in there}
 
     def _stage(self, rows: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/deltas/{name}-v={self.version + 1}"
-        rows.write.parquet(path)
+        rows.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def apply(self, changed: DataFrame) -> None:
@@ -141,6 +164,7 @@ class PairTable:
         for kind, d in totals:
             self.totals[kind] = self.totals.get(kind, 0) + (d or 0)
         self.version += 1
+        self._save()
 
     def _merge_pairs(self, d_items: DataFrame, d_pairs: DataFrame, touched: list[int], marginals: dict[int, str], written: dict) -> None:
         """Merge pair deltas and recompute associations where a pair or one of its items changed."""
