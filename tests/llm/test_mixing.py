@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from threadlake.llm.mixing import Mixture, sainte_lague
+from threadlake.llm.mixing import Mixture, may_be_short, sainte_lague
 
 DOCS = "doc_id bigint, text string, source string, size int, block string"
 TARGETS = "mix_name string, source string, target_pct int, max_repeats int"
@@ -57,3 +57,25 @@ def test_empty_tables(spark):
         assert mix.report().count() == len(targets)
         assert mix.selection().count() == 0
         assert mix.shares().count() == len(targets)
+
+
+def test_apportionment_leaves_every_short_source_open(spark):
+    """Short sources come from the quotas: none is settled too early, and those far from it are settled without the exact check."""
+    rng = np.random.default_rng(4)
+    gained = 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 12))
+        pct = np.diff(np.concatenate([[0], np.sort(rng.integers(0, 101, n - 1)), [100]])) + int(rng.integers(0, 2)) * rng.integers(0, 30, n)
+        total = int(rng.integers(1, 60_000))
+        supply = np.maximum(0, pct * total // 100 + rng.integers(-1500, 1500, n))
+        caps, seats = -(-supply // 500), total // 500
+        fair, dealt = sainte_lague(pct, seats), sainte_lague(pct, seats, caps)
+        short = supply * 100 < pct * total
+        assert may_be_short(pct, fair, caps)[short].all()
+        gained += int((short & (dealt > fair)).sum())
+    assert gained  # "capped seats at or below uncapped ones" would have lost these
+    docs = [(i, "x" * 100, "big", 0, "") for i in range(1000)] + [(5000, "y" * 100, "tiny", 0, "")]
+    report = {r.source: r for r in mixture(spark, docs, [("m", "big", 50, 4), ("m", "tiny", 50, 4)]).report().collect()}
+    assert (report["big"].open, report["big"].short) == (False, False)
+    assert (report["tiny"].open, report["tiny"].short) == (True, True)
+    assert report["tiny"].blocks == 1  # 400 of 500: capped by its supply alone

@@ -50,6 +50,18 @@ def sainte_lague(weights: np.ndarray, seats: int, caps: np.ndarray | None = None
     return held
 
 
+def may_be_short(weights: np.ndarray, fair: np.ndarray, caps: np.ndarray) -> np.ndarray:
+    """Which entries the apportionment leaves open to be short of their share, given their uncapped seats and their caps in seats.
+
+    By the quotients an entry of n, with a share s of all weights, has more than s * (seats - n / 2) - 1 / 2 of its seats uncapped. So if its supply
+    is below s of the whole, its cap, rounded up, is less than (n + 5) / 2 seats above its uncapped seats; comparing capped with uncapped seats alone
+    would miss some, as an entry also gains the seats that others can't fill. ``weights`` are per cents; where they
+    sum to more than 100 the bound grows with them.
+    """
+    w = np.asarray(weights, float)
+    return (w > 0) & (caps <= max(1.0, w[w > 0].sum() / 100) * (fair + (len(w) + 5) / 2) + 1)
+
+
 def _sources(docs: DataFrame, id_col: str, text_col: str, source_col: str, shards: int) -> DataFrame:
     """One row per document: source, id, size and shard."""
     return docs.select(
@@ -100,21 +112,22 @@ class Mixture:
             .fillna(0, ["tokens", "n_docs"])
             .withColumn("mix_tokens", total.cast("bigint"))
             .withColumn("supply", F.col("tokens") * F.col("max_repeats"))
-            # Exact in whole numbers, as the blocks of a short source are rounded.
-            .withColumn("short", F.col("supply") * 100 < F.col("target_pct") * F.col("mix_tokens"))
         )
         block, names = self.block, rows.columns
 
         def quotas(mix: pd.DataFrame) -> pd.DataFrame:
             mix = mix.sort_values(["source"], ignore_index=True)
             seats = int(mix["mix_tokens"].iat[0]) // block
-            caps = np.where(mix["short"], mix["supply"] // block, -(-mix["supply"] // block))
+            caps = (-(-mix["supply"] // block)).to_numpy()
             weight = mix["target_pct"].to_numpy(float)
             mix["fair_blocks"] = sainte_lague(weight, seats)
             mix["blocks"] = sainte_lague(weight, seats, caps)
-            return mix[[*names, "fair_blocks", "blocks"]]
+            mix["open"] = may_be_short(weight, mix["fair_blocks"].to_numpy(), caps)
+            return mix[[*names, "fair_blocks", "blocks", "open"]]
 
-        return rows.groupBy("mix_name").applyInPandas(quotas, rows.schema.simpleString()[7:-1] + ", fair_blocks bigint, blocks bigint")
+        dealt = rows.groupBy("mix_name").applyInPandas(quotas, rows.schema.simpleString()[7:-1] + ", fair_blocks bigint, blocks bigint, open boolean")
+        # Blocks are rounded: those that the apportionment leaves open are settled in whole numbers.
+        return dealt.withColumn("short", F.col("open") & (F.col("supply") * 100 < F.col("target_pct") * F.col("mix_tokens")))
 
     def selection(self) -> DataFrame:
         """``mix_name, source, doc_id, size, n_copies`` of every document that is used, 1 to ``max_repeats`` times."""
