@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from threadlake.llm.packing import best_fit, container_report, pack
 
@@ -51,3 +52,11 @@ def test_cost_binds_and_bad_rule(spark):
 def test_best_fit_takes_the_tightest():
     out = best_fit(np.array([70, 60, 40, 30]), (100, 10, 1e4), (1.0, 0.0, 0.0), "norm")
     assert out.tolist() == [0, 1, 1, 0]
+
+
+def test_repeated_and_null_ids_dont_meet_in_one_shard(spark):
+    """Two thirds of the rows hold one id or none: shards stay bounded all the same."""
+    df = spark.createDataFrame([(7 if i % 3 else None if i % 2 else i, "x" * 9, 0, "") for i in range(3000)], SCHEMA)
+    per_shard = [r["count"] for r in pack(df, capacity=100, shard_items=300).groupBy((F.col("container") / 2**32).cast("bigint")).count().collect()]
+    assert sum(per_shard) == 3000
+    assert max(per_shard) < 2 * 300

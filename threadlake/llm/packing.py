@@ -69,14 +69,15 @@ def pack(
     if rule not in ("norm", "dot"):
         raise ValueError("rule must be norm or dot")
     limits = (capacity, max_docs, max_cost or float(capacity) ** 2)
-    sized = staged(docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), utf8_size(F.col(f"`{text_col}`")).alias("total")), "sizes")
+    # The row number keeps repeated and null ids from meeting in one shard.
+    sized = staged(docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), utf8_size(F.col(f"`{text_col}`")).alias("total")).withColumn("row_no", F.monotonically_increasing_id()), "sizes")
     tokens, items = sized.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
     shards = max(1, math.ceil(tokens / (capacity * shard_containers)), math.ceil(items / shard_items))
     parts = (
         sized.withColumn("n_parts", F.greatest(F.lit(1), F.ceil(F.col("total") / capacity)).cast("int"))
         .withColumn("part_no", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
         .withColumn("size", F.least(F.lit(capacity).cast("bigint"), F.col("total") - F.col("part_no").cast("bigint") * capacity))
-        .withColumn("shard", F.pmod(F.xxhash64("doc_id", "part_no", F.lit(17)), F.lit(shards)).cast("int"))
+        .withColumn("shard", F.pmod(F.xxhash64("row_no", "doc_id", "part_no", F.lit(17)), F.lit(shards)).cast("int"))
         .select("doc_id", "part_no", "n_parts", "size", "shard")
     )
     return parts.groupBy("shard").applyInPandas(_shard_packer(limits, weights, rule), "doc_id bigint, part_no int, n_parts int, size bigint, container bigint")
