@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from threadlake.session import get_spark
+from threadlake.session import Staging, get_spark
 
 SMALL = Path("/root/testdata/sf0.001")
 
@@ -41,9 +41,10 @@ def same_as_sql(spark):
         con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM read_parquet('{f}{'/*.parquet' if f.is_dir() else ''}')")
 
     def check(query, sql: str) -> None:
-        df = query(spark, str(SMALL))
-        cols = sorted(df.columns)
-        got = sorted(tuple(map(canon, r)) for r in df.select(*[f"`{c}`" for c in cols]).collect())
+        with Staging(spark):
+            df = query(spark, str(SMALL))
+            cols = sorted(df.columns)
+            got = sorted(tuple(map(canon, r)) for r in df.select(*[f"`{c}`" for c in cols]).collect())
         cur = con.execute(sql)
         names = [c[0] for c in cur.description]
         assert sorted(names) == cols

@@ -472,15 +472,12 @@ QUERIES |= {name: _gateway(sql) for name, sql in GATEWAY.items()}
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    # The events are one file of the table folder; the stream reads that folder's event files only.
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(f"{d}/events*.parquet")
-    return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
+    return stream.event_stream(spark, f"{d}/events.parquet")
 
 
 @query
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
-    out = stream.run_available(stream.tumbling(_events(spark, d), "1 hour"), "tumbling")
+    out = stream.run_available(stream.tumbling(_events(spark, d), "1 hour"), "tumbling", ("window", "event_type"))
     return out.select(F.unix_millis("window.start").alias("start_ms"), "event_type", "n", F.round("total", 4).alias("total"))
 
 

@@ -181,11 +181,11 @@ def question_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT epoch_ms(date_trunc('day', ts)) AS start_ms, event_type, arg_max(value, (ts, value)) AS value FROM events GROUP BY 1, 2")
 def stream_daily_last(spark: SparkSession, d: str) -> DataFrame:
-    out = stream.run_available(stream.last_values(_events(spark, d), "1 day"), "daily_last")
+    out = stream.run_available(stream.last_values(_events(spark, d), "1 day"), "daily_last", ("window", "event_type"))
     return out.select(F.unix_millis("window.start").alias("start_ms"), "event_type", "value")
 
 
 @query("""SELECT epoch_ms(w) AS start_ms, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE * i FOR i IN range(4)]) AS w FROM events) GROUP BY 1, 2""")
 def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
-    out = stream.run_available(stream.tumbling(_events(spark, d), "1 hour", slide="15 minutes"), "sliding")
+    out = stream.run_available(stream.tumbling(_events(spark, d), "1 hour", slide="15 minutes"), "sliding", ("window", "event_type"))
     return out.select(F.unix_millis("window.start").alias("start_ms"), "event_type", "n")
