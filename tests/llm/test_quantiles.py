@@ -7,7 +7,8 @@ import math
 import numpy as np
 import pytest
 
-from threadlake.llm.quantiles import Sketch, build_sketches, groups_above, merge_sketches, relative_error, sketch_quantiles
+from threadlake.llm.quantiles import Sketch, bounds_kept, build_sketches, groups_above, merge_sketches, relative_error, sketch_quantiles
+from threadlake.session import Staging
 
 
 @pytest.mark.parametrize("shape", ["lognormal", "rising", "falling", "ties"])
@@ -59,3 +60,21 @@ def test_groups_above_is_exact(spark):
     want = {g for g in {r[0] for r in rows} for v in [sorted(r[1] for r in rows if r[0] == g)] if v[math.ceil(0.95 * len(v)) - 1] > 2000}
     assert {r.grp for r in groups_above(df, "day", "ms", 0.95, 2000.0).collect()} == want
     assert groups_above(df.limit(0), "day", "ms", 0.95, 2000.0).count() == 0
+
+
+def test_rows_are_read_again_for_near_groups_only(spark):
+    """The plan of a result without near groups holds no scan of the rows; with some, they are joined before anything is counted."""
+    far = spark.range(30_000).selectExpr("concat('g', id % 3) AS day", "CAST(IF(id % 3 = 0, 9000, 10) AS double) AS ms")
+    with Staging(spark):
+        got = groups_above(far, "day", "ms", 0.95, 2000.0)
+        assert "Range" not in got._jdf.queryExecution().optimizedPlan().toString()
+        assert {(r.grp, r.by) for r in got.collect()} == {("g0", "sketch")}
+        near = spark.range(30_000).selectExpr("concat('g', id % 3) AS day", "CAST(IF(id % 3 = 1 AND id % 60 < 3, 9000, 10) AS double) AS ms")
+        plan = groups_above(near, "day", "ms", 0.95, 2000.0)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Aggregate") < plan.index("Join") < plan.index("Range")
+
+
+def test_bounds_are_checked_by_counting(spark):
+    rows = spark.range(1000).selectExpr("IF(id < 900, 'a', null) AS day", "CAST(id AS double) AS ms")
+    some = spark.createDataFrame([("a", 900, 0.5, 449.0, 449.0), ("a", 900, 0.9, 0.0, 808.0), (None, 100, 0.5, 949.0, 2000.0)], "grp string, n bigint, p double, value_low double, value_high double")
+    assert {(r.grp, r.p, r.inside) for r in bounds_kept(rows, some, "day", "ms").collect()} == {("a", 0.5, True), ("a", 0.9, False), (None, 0.5, True)}

@@ -28,6 +28,8 @@ SKETCH = struct(
 HELD = 2_000
 #: Partial sketches of a group that one task merges at a time.
 FAN_IN = 64
+#: Groups whose short rows are broadcast; beyond that Spark joins by shuffle.
+MAX_BROADCAST_GROUPS = 100_000
 
 
 class Sketch:
@@ -185,13 +187,12 @@ def sketch_quantiles(sketches: DataFrame, ps: list[float], k: int = 64) -> DataF
     return sketches.mapInPandas(run, "grp string, n bigint, p double, value double, value_low double, value_high double")
 
 
-def groups_above(rows: DataFrame, group: str, value: str, p: float, threshold: float, k: int = 64) -> DataFrame:
-    """Groups whose value at rank ceil(p n) exceeds ``threshold``: ``grp``.
+def judged_groups(rows: DataFrame, group: str, value: str, p: float, threshold: float, k: int = 64) -> DataFrame:
+    """``grp, n, need, above, verdict`` from the sketches: whether the value at rank ceil(p n) exceeds ``threshold``.
 
-    The sketch decides wherever the threshold's rank lies outside its error bound; only groups within the bound are counted exactly.
+    ``need`` values may be above before it does, ``above`` is the estimate of how many are; ``near`` where the error bound leaves both open.
     """
     eps = relative_error(k)
-    sketches = build_sketches(rows, group, value, k)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -200,18 +201,45 @@ def groups_above(rows: DataFrame, group: str, value: str, p: float, threshold: f
                 above = Sketch.of(r, k, 0).above(threshold)
                 need = int(r["n"]) - math.ceil(p * int(r["n"]) - 1e-9)  # exceeded if more than so many are above
                 slack = eps * max(above, need) + 1
-                out.append((r["grp"], int(r["n"]), need, "yes" if above > need + slack else "no" if above <= need - slack else "near"))
-            yield pd.DataFrame(out, columns=["grp", "n", "need", "verdict"])
-
-    judged = sketches.mapInPandas(judge, "grp string, n bigint, need bigint, verdict string")
-    judged = staged(judged, "verdicts")  # one short row per group, read twice
-    near = judged.where("verdict = 'near'").select(F.col("grp").alias("near_grp"), "need")
-    exact = (
-        rows.select(F.col(f"`{group}`").cast("string").alias("grp"), F.col(f"`{value}`").cast("double").alias("v"))
-        .where((F.col("v") > threshold) & ~F.isnan("v"))
-        .groupBy("grp")
-        .agg(F.count("*").alias("n_above"))
-        .join(near, F.col("grp").eqNullSafe(F.col("near_grp")))
-        .where("n_above > need")
-    )
-    return judged.where("verdict = 'yes'").select("grp").unionByName(exact.select("grp"))
+                out.append((r["grp"], int(r["n"]), need, above, "yes" if above > need + slack else "no" if above <= need - slack else "near"))
+            yield pd.DataFrame(out, columns=["grp", "n", "need", "above", "verdict"])
+
+    return build_sketches(rows, group, value, k).mapInPandas(judge, "grp string, n bigint, need bigint, above bigint, verdict string")
+
+
+def _beside(rows: DataFrame, few: DataFrame, n: int) -> DataFrame:
+    """``rows`` (``grp, v``) joined to one short row or more per group; broadcast up to ``MAX_BROADCAST_GROUPS``."""
+    return rows.join(F.broadcast(few) if n <= MAX_BROADCAST_GROUPS else few, F.col("grp").eqNullSafe(F.col("of_grp")))
+
+
+def _values(rows: DataFrame, group: str, value: str) -> DataFrame:
+    kept = rows.select(F.col(f"`{group}`").cast("string").alias("grp"), F.col(f"`{value}`").cast("double").alias("v"))
+    return kept.where(F.col("v").isNotNull() & ~F.isnan("v"))
+
+
+def groups_above(rows: DataFrame, group: str, value: str, p: float, threshold: float, k: int = 64) -> DataFrame:
+    """Groups whose value at rank ceil(p n) exceeds ``threshold``: ``grp, by`` (``sketch`` or ``count``).
+
+    The sketch decides wherever the threshold's rank lies outside its error bound. Only the rows of groups within the bound are read again and counted
+    exactly; where there are none, no row is.
+    """
+    judged = staged(judged_groups(rows, group, value, p, threshold, k), "verdicts")  # one short row per group
+    yes = judged.where("verdict = 'yes'").select("grp", F.lit("sketch").alias("by"))
+    near = judged.where("verdict = 'near'").select(F.col("grp").alias("of_grp"), "need")
+    n = near.count()
+    if not n:
+        return yes
+    exact = _beside(_values(rows, group, value).where(F.col("v") > threshold), near, n).groupBy("grp").agg(F.count("*").alias("n_above"), F.first("need").alias("need"))
+    return yes.unionByName(exact.where("n_above > need").select("grp", F.lit("count").alias("by")))
+
+
+def bounds_kept(rows: DataFrame, quantiles: DataFrame, group: str, value: str) -> DataFrame:
+    """``grp, p, n, inside``: whether the exact value at rank ceil(p n) lies between ``value_low`` and ``value_high`` of ``sketch_quantiles``.
+
+    Found by counting the rows below either end, so no group is sorted or held.
+    """
+    few = staged(quantiles, "bounds").withColumnRenamed("grp", "of_grp")
+    per = _beside(_values(rows, group, value), few, few.count()).groupBy("grp", "p", "n", "value_low", "value_high")
+    counts = per.agg(F.count_if(F.col("v") < F.col("value_low")).alias("below"), F.count_if(F.col("v") <= F.col("value_high")).alias("upto"), F.count("*").alias("rows"))
+    rank = F.ceil(F.round(F.col("p") * F.col("rows"), 9))
+    return counts.select("grp", "p", "n", ((F.col("below") < rank) & (F.col("upto") >= rank) & (F.col("rows") == F.col("n"))).alias("inside"))

@@ -70,21 +70,41 @@ def _durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = staged(_durations(spark, sf_dir).select("day", "duration_ms"), "durations")  # read by the sketch and by the exact count
+    rows = staged(_durations(spark, sf_dir).select("day", "duration_ms"), "durations")  # read by the sketch and, for days within its bound, once more
     return quantiles.groups_above(rows, "day", "duration_ms", 0.95, 2000.0).select(F.col("grp").alias("day"))
 
 
+PS = [0.5, 0.9, 0.95, 0.99, 0.999]
+
+
 def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median and higher percentiles per day with the values at the ends of the error bound."""
     sketches = quantiles.build_sketches(_durations(spark, sf_dir), "day", "duration_ms")
-    return quantiles.sketch_quantiles(sketches, [0.5, 0.9, 0.95, 0.99, 0.999])
+    return quantiles.sketch_quantiles(sketches, PS)
+
+
+def _weeks(days: DataFrame) -> DataFrame:
+    """The sketches of single days merged to weeks."""
+    return quantiles.merge_sketches(days.withColumn("grp", F.date_format(F.trunc(F.to_date("grp"), "week"), "yyyy-MM-dd")))
 
 
 def p5_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles per week, merged from the sketches of single days."""
-    days = quantiles.build_sketches(_durations(spark, sf_dir), "day", "duration_ms")
-    weeks = days.withColumn("grp", F.date_format(F.trunc(F.to_date("grp"), "week"), "yyyy-MM-dd"))
-    return quantiles.sketch_quantiles(quantiles.merge_sketches(weeks), [0.5, 0.9, 0.95, 0.99, 0.999])
+    return quantiles.sketch_quantiles(_weeks(quantiles.build_sketches(_durations(spark, sf_dir), "day", "duration_ms")), PS)
+
+
+def p5_day_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the exact percentiles of each day lie within the bounds of the sketch."""
+    rows = staged(_durations(spark, sf_dir).select("day", "duration_ms"), "durations")
+    found = quantiles.sketch_quantiles(quantiles.build_sketches(rows, "day", "duration_ms"), PS)
+    return quantiles.bounds_kept(rows, found, "day", "duration_ms").withColumnRenamed("grp", "day")
+
+
+def p5_week_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of weeks merged from days."""
+    rows = staged(_durations(spark, sf_dir), "durations")
+    found = quantiles.sketch_quantiles(_weeks(quantiles.build_sketches(rows, "day", "duration_ms")), PS)
+    return quantiles.bounds_kept(rows, found, "week", "duration_ms").withColumnRenamed("grp", "week")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +154,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_conversations, p3_found, p3_redacted, p4_found, p4_pairs, p5_found, p5_percentiles, p5_weekly, p7_found, p7_containers, p7_totals,
+        p1_found, p1_conversations, p3_found, p3_redacted, p4_found, p4_pairs, p5_found, p5_percentiles, p5_weekly, p5_day_bounds, p5_week_bounds, p7_found, p7_containers, p7_totals,
         p8_found, p8_shares, p8_selection, p9_found, p9_pieces,
     )
 }

@@ -40,6 +40,10 @@ FROM t WHERE session_id NOT IN (SELECT session_id FROM d)""",
     "p4_found": _ITEMS + "SELECT item_kind, item_a, item_b FROM s WHERE n_ab >= 3 AND 250 * n_ab >= n_baskets AND n_baskets * n_ab >= 3 * n_a * n_b",
     "p4_pairs": _ITEMS + "SELECT item_kind, item_a, item_b, n_ab, n_baskets, round(n_ab / (CAST(n_a AS DOUBLE) * n_b) * n_baskets, 6) AS lift FROM s",
     "p5_found": _DURATIONS + "SELECT day FROM k WHERE rk = (95 * n + 99) // 100 AND duration_ms > 2000",
+    "p5_day_bounds": _DURATIONS + "SELECT day, p, count(*) AS n, true AS inside FROM r, (SELECT unnest([0.5, 0.9, 0.95, 0.99, 0.999]::DOUBLE[]) AS p) GROUP BY day, p",
+    "p5_week_bounds": _DURATIONS
+    + """SELECT strftime(date_trunc('week', CAST(day AS DATE)), '%Y-%m-%d') AS week, p, count(*) AS n, true AS inside
+FROM r, (SELECT unnest([0.5, 0.9, 0.95, 0.99, 0.999]::DOUBLE[]) AS p) GROUP BY 1, 2""",
     "p7_found": "SELECT doc_id FROM documents WHERE strlen(text) > 8192",
     "p7_totals": """SELECT CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS tokens,
 CAST(sum(greatest(1, (strlen(coalesce(text, '')) + 8191) // 8192)) AS BIGINT) AS items, false AS overfull FROM documents""",
