@@ -108,7 +108,8 @@ def p5_week_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents")).where("n_parts > 1").select("doc_id").distinct()
+    """Documents whose parts the packing put into more than one container."""
+    return packing.divided(packing.pack(table(spark, sf_dir, "documents"))).distinct()
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,6 +124,13 @@ def p7_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.select(F.col("tokens").cast("bigint").alias("tokens"), F.col("items").cast("bigint").alias("items"), "overfull")
 
 
+def p7_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fullest container under each limit, and how many containers there are for the tokens: within 3 % and a few."""
+    found = packing.limits_report(packing.pack(table(spark, sf_dir, "documents")), packing.Limits())
+    most = F.when(F.col("limit_name") == "containers", F.col("allowed") * 1.03 + 3).otherwise(F.col("allowed"))
+    return found.select("limit_name", "allowed", (F.col("largest") <= most).alias("kept"))
+
+
 def _mixture(spark: SparkSession, sf_dir: str) -> mixing.Mixture:
     return mixing.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
@@ -154,7 +162,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_conversations, p3_found, p3_redacted, p4_found, p4_pairs, p5_found, p5_percentiles, p5_weekly, p5_day_bounds, p5_week_bounds, p7_found, p7_containers, p7_totals,
+        p1_found, p1_conversations, p3_found, p3_redacted, p4_found, p4_pairs, p5_found, p5_percentiles, p5_weekly, p5_day_bounds, p5_week_bounds, p7_found, p7_containers, p7_totals, p7_limits,
         p8_found, p8_shares, p8_selection, p9_found, p9_pieces,
     )
 }

@@ -47,6 +47,8 @@ FROM r, (SELECT unnest([0.5, 0.9, 0.95, 0.99, 0.999]::DOUBLE[]) AS p) GROUP BY 1
     "p7_found": "SELECT doc_id FROM documents WHERE strlen(text) > 8192",
     "p7_totals": """SELECT CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS tokens,
 CAST(sum(greatest(1, (strlen(coalesce(text, '')) + 8191) // 8192)) AS BIGINT) AS items, false AS overfull FROM documents""",
+    "p7_limits": """SELECT 'tokens' AS limit_name, 8192 AS allowed, true AS kept UNION ALL SELECT 'docs', 128, true UNION ALL SELECT 'cost', 8192 * 8192, true
+UNION ALL SELECT 'containers', CAST((sum(strlen(coalesce(text, ''))) + 8191) // 8192 AS BIGINT), true FROM documents""",
     "p8_found": f"""WITH s AS (SELECT lower({_STRIP.format('source')}) AS source, sum(strlen(coalesce(text, ''))) AS s FROM documents GROUP BY 1),
 t AS (SELECT DISTINCT mix_name, lower({_STRIP.format('source')}) AS source, target_pct, max_repeats FROM mix_targets),
 j AS (SELECT t.*, coalesce(s.s, 0) AS s, sum(coalesce(s.s, 0)) OVER (PARTITION BY mix_name) AS total FROM t LEFT JOIN s USING (source))
