@@ -79,3 +79,24 @@ def test_apportionment_leaves_every_short_source_open(spark):
     assert (report["big"].open, report["big"].short) == (False, False)
     assert (report["tiny"].open, report["tiny"].short) == (True, True)
     assert report["tiny"].blocks == 1  # 400 of 500: capped by its supply alone
+
+
+def test_targets_or_total(spark):
+    """A short source: either the total shrinks and the targets hold, or the total is held and the others fill it."""
+    rng = np.random.default_rng(1)
+    docs = [(i, "x" * int(rng.integers(1, 40)), ["big", "mid"][i % 2], 0, "") for i in range(6000)] + [(9000 + i, "y" * 20, "tiny", 0, "") for i in range(100)]
+    targets = [("m", "big", 50, 1), ("m", "mid", 30, 1), ("m", "tiny", 20, 2), ("z", "big", 60, 1), ("z", "absent", 40, 9)]
+    d, t = spark.createDataFrame(docs, DOCS), spark.createDataFrame(targets, TARGETS)
+    got = {(r.mix_name, r.source): r for r in Mixture(d, t, shard_docs=2000).deviations().collect()}
+    for s, pct in (("big", 50), ("mid", 30), ("tiny", 20)):
+        assert got["m", s].actual_pct == pytest.approx(pct, abs=1.5)
+    assert got["m", "tiny"].used_tokens == 2 * 100 * 20
+    assert got["z", "absent"].used_tokens == 0
+    assert got["z", "big"].actual_pct == 100
+    assert all(r.off_tokens <= r.allowed_off and r.most_copies <= r.max_repeats for r in got.values())
+    filled = {(r.mix_name, r.source): r for r in Mixture(d, t, shard_docs=2000, hold="total").shares().collect()}
+    total = sum(len(x[1]) for x in docs)
+    assert sum(filled["m", s].used_tokens for s in ("big", "mid", "tiny")) == pytest.approx(total, rel=0.02)
+    assert filled["m", "tiny"].used_tokens == got["m", "tiny"].used_tokens
+    with pytest.raises(ValueError, match="hold"):
+        Mixture(d, t, hold="neither")

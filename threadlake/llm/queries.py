@@ -131,8 +131,8 @@ def p7_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("limit_name", "allowed", (F.col("largest") <= most).alias("kept"))
 
 
-def _mixture(spark: SparkSession, sf_dir: str) -> mixing.Mixture:
-    return mixing.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+def _mixture(spark: SparkSession, sf_dir: str, hold: str = "targets") -> mixing.Mixture:
+    return mixing.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), hold=hold)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,6 +144,17 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).shares()
 
 
+def p8_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source of a mix whether it came as near to its target as documents allow, and within its repeats."""
+    found = _mixture(spark, sf_dir).deviations()
+    return found.select("mix_name", "source", "target_pct", "tokens", "aim", (F.col("off_tokens") <= F.col("allowed_off")).alias("near"), (F.col("most_copies") <= F.col("max_repeats")).alias("repeats_kept"))
+
+
+def p8_filled_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same mixes with the total held: what short sources can't give, the others do."""
+    return _mixture(spark, sf_dir, "total").shares()
+
+
 def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of each mix and how often each is used."""
     return _mixture(spark, sf_dir).selection()
@@ -163,6 +174,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_conversations, p3_found, p3_redacted, p4_found, p4_pairs, p5_found, p5_percentiles, p5_weekly, p5_day_bounds, p5_week_bounds, p7_found, p7_containers, p7_totals, p7_limits,
-        p8_found, p8_shares, p8_selection, p9_found, p9_pieces,
+        p8_found, p8_shares, p8_deviation, p8_filled_shares, p8_selection, p9_found, p9_pieces,
     )
 }

@@ -26,6 +26,10 @@ p AS (SELECT a.item_kind, a.item AS item_a, b.item AS item_b, count(*) AS n_ab F
 s AS (SELECT p.*, n.n AS n_baskets, ma.n AS n_a, mb.n AS n_b FROM p JOIN n USING (item_kind)
   JOIN m ma ON ma.item_kind = p.item_kind AND ma.item = item_a JOIN m mb ON mb.item_kind = p.item_kind AND mb.item = item_b)
 """
+_MIXES = f"""WITH s AS (SELECT lower({_STRIP.format('source')}) AS source, sum(strlen(coalesce(text, ''))) AS s FROM documents GROUP BY 1),
+t AS (SELECT DISTINCT mix_name, lower({_STRIP.format('source')}) AS source, target_pct, max_repeats FROM mix_targets),
+j AS (SELECT t.*, coalesce(s.s, 0) AS s, sum(coalesce(s.s, 0)) OVER (PARTITION BY mix_name) AS total FROM t LEFT JOIN s USING (source))
+"""
 _DURATIONS = """WITH o AS (SELECT id, min(CASE WHEN abs(created_at) < 100000000000 THEN created_at * 1000 ELSE created_at END) AS made, min(duration_ms) AS duration_ms
   FROM query_audit WHERE duration_ms >= 0 AND NOT isnan(duration_ms) AND created_at IS NOT NULL GROUP BY id),
 r AS (SELECT strftime(make_timestamp(made * 1000), '%Y-%m-%d') AS day, duration_ms FROM o),
@@ -49,10 +53,13 @@ FROM r, (SELECT unnest([0.5, 0.9, 0.95, 0.99, 0.999]::DOUBLE[]) AS p) GROUP BY 1
 CAST(sum(greatest(1, (strlen(coalesce(text, '')) + 8191) // 8192)) AS BIGINT) AS items, false AS overfull FROM documents""",
     "p7_limits": """SELECT 'tokens' AS limit_name, 8192 AS allowed, true AS kept UNION ALL SELECT 'docs', 128, true UNION ALL SELECT 'cost', 8192 * 8192, true
 UNION ALL SELECT 'containers', CAST((sum(strlen(coalesce(text, ''))) + 8191) // 8192 AS BIGINT), true FROM documents""",
-    "p8_found": f"""WITH s AS (SELECT lower({_STRIP.format('source')}) AS source, sum(strlen(coalesce(text, ''))) AS s FROM documents GROUP BY 1),
-t AS (SELECT DISTINCT mix_name, lower({_STRIP.format('source')}) AS source, target_pct, max_repeats FROM mix_targets),
-j AS (SELECT t.*, coalesce(s.s, 0) AS s, sum(coalesce(s.s, 0)) OVER (PARTITION BY mix_name) AS total FROM t LEFT JOIN s USING (source))
-SELECT mix_name, source FROM j WHERE s * max_repeats * 100 < target_pct * total""",
+    "p8_deviation": _MIXES
+    + """, w AS (SELECT *, CASE WHEN s * max_repeats > 0 THEN target_pct ELSE 0 END AS w FROM j),
+a AS (SELECT *, w / sum(w) OVER (PARTITION BY mix_name)::DOUBLE AS share FROM w),
+m AS (SELECT *, least(total, min(CASE WHEN share > 0 THEN s * max_repeats / share END) OVER (PARTITION BY mix_name)) AS held FROM a)
+SELECT mix_name, source, target_pct, CAST(s AS BIGINT) AS tokens, CAST(floor(share * held) AS BIGINT) AS aim, true AS near, true AS repeats_kept FROM m""",
+    "p8_found": _MIXES
+    + """SELECT mix_name, source FROM j WHERE s * max_repeats * 100 < target_pct * total""",
     "p9_found": r"""WITH d AS (SELECT doc_id, regexp_extract_all(text, '[ \t\r\n\x{3000}。！？]+|[^ \t\r\n\x{3000}。！？]+') AS ps FROM documents WHERE strlen(text) > 2048),
 p AS (SELECT doc_id, unnest(ps) AS x, generate_subscripts(ps, 1) AS i FROM d),
 c AS (SELECT doc_id, x, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) - length(x) AS pos FROM p)
