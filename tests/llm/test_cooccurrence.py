@@ -5,10 +5,13 @@ from __future__ import annotations
 import random
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import pytest
 
 from threadlake.llm.cooccurrence import PairTable, _signed_pairs, associated, baskets_of
+from threadlake.llm.queries import _session_batches
+from threadlake.session import table as supplied
 
 SCHEMA = "id string, tags array<string>, n int, bucket int"
 
@@ -66,3 +69,74 @@ def test_table_is_taken_up_again(spark):
     state["1"], state["new"] = [], ["t1", "t9"]
     again.apply(baskets_of(spark.createDataFrame([(k, state[k]) for k in ("1", "new")], "id string, tags array<string>"), "id", {"tag": "tags"}))
     assert held(PairTable.open(spark, table.path)) == counted(state)
+
+
+def size_below(path):
+    return sum(f.stat().st_size for f in Path(path.removeprefix("file://")).rglob("*.parquet"))
+
+
+def test_a_small_batch_writes_little(spark, tmp_path):
+    """A batch of one per cent of the baskets writes a few per cent of the bytes at this size, and the result is that of a full count."""
+    rng = random.Random(6)
+    state = {f"s{i}": [f"t{int(rng.paretovariate(0.3)) % 3000}" for _ in range(6)] for i in range(30_000)}
+    table = PairTable(spark, f"file://{tmp_path}/t")
+
+    def apply(keys):
+        table.apply(baskets_of(spark.createDataFrame([(k, state[k]) for k in keys], "id string, tags array<string>"), "id", {"tag": "tags"}))
+
+    apply(list(state))
+    whole = size_below(table.path)
+    for _ in range(3):
+        keys = rng.sample(sorted(state), 300)
+        for k in keys:
+            state[k] = [] if rng.random() < 0.2 else [*state[k][1:], f"t{rng.randrange(3000)}"]
+        before = size_below(table.path)
+        apply(keys)
+        assert size_below(table.path) - before < 0.05 * whole  # files have a kilobyte or two of their own, and frequent items are in every batch
+    assert len(table.layers["pairs"]) > 1
+    assert held(table) == counted(state)
+    for r in table.affected().collect():
+        assert (r.item_a, r.item_b, r.n_ab, r.n_a, r.n_b, r.n_baskets) in counted(state)
+    before = size_below(table.path)
+    apply(keys)  # nothing new
+    assert size_below(table.path) == before
+    table.vacuum()
+    assert size_below(table.path) <= before
+    assert held(PairTable.open(spark, table.path)) == counted(state)
+
+
+def test_layers_merge_and_removals_stay_removed(spark):
+    state = {}
+    table = PairTable(spark, buckets=3)
+    rng = random.Random(1)
+    for step in range(7):
+        changed = {f"s{i}": [] if rng.random() < 0.4 else [f"t{rng.randrange(6)}" for _ in range(3)] for i in rng.sample(range(20), 6 if step else 20)}
+        state |= changed
+        table.apply(baskets_of(spark.createDataFrame(list(changed.items()), "id string, tags array<string>"), "id", {"tag": "tags"}))
+        assert held(table) == counted(state)
+        assert all(2 * b.rows < a.rows for some in table.layers.values() for a, b in zip(some, some[1:], strict=False))
+
+
+def test_affected_pairs(spark):
+    def apply(table, **baskets):
+        table.apply(baskets_of(spark.createDataFrame(list(baskets.items()), "id string, tags array<string>"), "id", {"tag": "tags"}))
+
+    table = PairTable(spark)
+    apply(table, a=["x", "y"], b=["x", "y", "z"], c=["p", "q"])
+    apply(table, b=["y", "z"], d=["q"])  # x and q move, y and z don't
+    got = {(r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b) for r in table.affected().collect()}
+    assert got == {("x", "y"): (1, 1, 2), ("p", "q"): (1, 1, 2)}
+
+
+def test_batches_end_in_the_table(spark):
+    """The registered batches hold removed and changed baskets and end in the sessions as they are."""
+    sessions = supplied(spark, "/root/testdata/sf0.001", "sessions")
+    first, second, third = (b.collect() for b in _session_batches(sessions))
+    want = {r.id: (r.tags, r.entities) for r in sessions.collect()}
+    state = {}
+    for batch in (first, second, third):
+        state |= {r.id: (r.tags, r.entities) for r in batch}
+    assert {k: v for k, v in state.items() if k in want} == want
+    assert len(third) > len(want) // 5
+    assert {r.id for r in first} & {r.id for r in second}
+    assert all(v == (None, None) for k, v in state.items() if k not in want)

@@ -1,21 +1,33 @@
 """Items that appear together, kept as an incremental pair table.
 
-Changed baskets are compared with what is stored of them; each emits signed deltas for its items (marginals) and pairs. Deltas
-are summed map-side, merged into persistent counts that are hash-bucketed, and only the buckets that a delta
-touches are written again. The association stored with a pair is n(a,b) / (n(a) n(b)); it changes only where a count of
-the pair or of one of its items changes, and the number of baskets N is multiplied in when it is read.
+Changed baskets are compared with what is stored of them; each emits signed deltas for its items (marginals) and for the pairs of a changed item
+with all items of the basket. Deltas are summed map-side and appended as hash-bucketed layers of signed counts; a layer is merged into the one
+before when it has grown to half its size, so a batch writes about its own deltas and a count is written again only a logarithmic number of
+times. Counts are the sums over the few layers there are. Associations follow from counts and marginals when they are read, for all pairs or for those
+that the last batch affected.
 """
 
 from __future__ import annotations
 
+import json
+import math
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from threadlake.functions.text import folded
-from threadlake.session import new_path
+from threadlake.session import in_tasks, new_path, staged
 
 #: Items of a basket whose pairs one row expands to at a time; larger baskets are cut into squares of this side.
 SIDE = 256
+#: Rows of a layer that lie in one bucket.
+BUCKET_ROWS = 1_000_000
+#: Marginals that are broadcast when associations are read; beyond that Spark joins by shuffle and splits skewed items (their pairs are the large side).
+MAX_BROADCAST_ITEMS = 500_000
 
 
 def baskets_of(rows: DataFrame, id_col: str, kinds: dict[str, str]) -> DataFrame:
@@ -31,30 +43,33 @@ def baskets_of(rows: DataFrame, id_col: str, kinds: dict[str, str]) -> DataFrame
 
 
 def _signed_pairs(changed: DataFrame, salt_from: int = SIDE) -> DataFrame:
-    """Signed pair deltas of changed baskets (``kind, old, new``), summed: ``kind, item_a, item_b, delta``."""
+    """Signed pair deltas of changed baskets (``kind, old, new``), summed: ``kind, item_a, item_b, delta``.
+
+    Only pairs of which an item came or went carry a sign, so only these are expanded: changed items with all items.
+    """
     marks = F.transform(
         F.array_sort(F.array_union("old", "new")),
         lambda x: F.struct(x.alias("item"), F.array_contains("old", x).cast("int").alias("o"), F.array_contains("new", x).cast("int").alias("n")),
     )
-    marked = changed.select("kind", marks.alias("m"))
-    small = marked.where(F.size("m") <= salt_from).select("kind", F.col("m").alias("left"), F.col("m").alias("right"))
+    marked = changed.select("kind", marks.alias("m")).withColumn("c", F.filter("m", lambda x: x["o"] != x["n"])).where(F.size("c") > 0)
+    large = F.size("c").cast("bigint") * F.size("m") > salt_from * salt_from
+    small = marked.where(~large).select("kind", F.col("c").alias("left"), F.col("m").alias("right"))
     # A huge basket becomes squares (block of items x block of items), spread over the cluster before pairs come out.
-    blocks = F.ceil(F.size("m") / salt_from).cast("int")
     squares = (
-        marked.where(F.size("m") > salt_from)
-        .withColumn("i", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .withColumn("j", F.explode(F.sequence(F.col("i"), blocks - 1)))
-        .select("kind", *[F.slice("m", F.col(x) * salt_from + 1, F.lit(salt_from)).alias(side) for x, side in (("i", "left"), ("j", "right"))])
+        marked.where(large)
+        .withColumn("i", F.explode(F.sequence(F.lit(0), F.ceil(F.size("c") / salt_from).cast("int") - 1)))
+        .withColumn("j", F.explode(F.sequence(F.lit(0), F.ceil(F.size("m") / salt_from).cast("int") - 1)))
+        .select("kind", *[F.slice(of, F.col(x) * salt_from + 1, F.lit(salt_from)).alias(side) for of, x, side in (("c", "i", "left"), ("m", "j", "right"))])
         .repartition(F.rand(3))
     )
-    # Only pairs of which an item changed carry a sign; kept pairs cancel within the row.
     sign = F.col("a.n") * F.col("b.n") - F.col("a.o") * F.col("b.o")
+    once = (F.col("a.item") < F.col("b.item")) | (F.col("a.item") != F.col("b.item")) & (F.col("b.o") == F.col("b.n"))
     return (
         small.unionByName(squares)
         .withColumn("a", F.explode("left"))
         .withColumn("b", F.explode("right"))
-        .where(F.col("a.item") < F.col("b.item"))
-        .select("kind", F.col("a.item").alias("item_a"), F.col("b.item").alias("item_b"), sign.cast("bigint").alias("delta"))
+        .where(once)
+        .select("kind", F.least("a.item", "b.item").alias("item_a"), F.greatest("a.item", "b.item").alias("item_b"), sign.cast("bigint").alias("delta"))
         .where("delta != 0")
         .groupBy("kind", "item_a", "item_b")
         .agg(F.sum("delta").alias("delta"))
@@ -62,142 +77,196 @@ def _signed_pairs(changed: DataFrame, salt_from: int = SIDE) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Layer:
+    """Rows of a table that were written together, in ``buckets`` folders by the hash of their key."""
+
+    name: str
+    version: int
+    rows: int
+    buckets: int
+
+
 class PairTable:
-    """Persistent pair counts below ``path``: baskets, marginals, pairs and totals, the first three in hash buckets.
+    """Persistent pair counts below ``path``: baskets, marginals and pairs, each a few layers of hash buckets.
 
-    Each ``apply`` writes new files for the touched buckets only and then a new manifest (bucket -> file set, totals), which is held
-    here and beside the data; a failed ``apply`` leaves the table as it was and may be repeated. ``buckets`` bounds the manifest. ``open``
-    takes up a table where its last manifest left it. One writer at a time.
+    Each ``apply`` appends a layer of each and then a new manifest (layers, totals), which is held here and beside the data; a failed ``apply`` leaves the
+    table as it was and may be repeated. ``open`` takes up a table where its last manifest left it, ``vacuum`` removes layers that
+    no manifest needs any more. A layer has a bucket for each ``bucket_rows`` rows, unless ``buckets`` fixes their number. One writer at a time.
     """
 
+    KEYS = {"baskets": ["id", "kind"], "marginals": ["kind", "item"], "pairs": ["kind", "item_a", "item_b"]}
     SCHEMAS = {
-        "baskets": "id string, kind string, items array<string>, bucket int",
-        "marginals": "kind string, item string, n bigint, bucket int",
-        "pairs": "kind string, item_a string, item_b string, n bigint, n_a bigint, n_b bigint, per_basket double, bucket int",
+        "baskets": "id string, kind string, items array<string>, no bigint",
+        "marginals": "kind string, item string, n bigint",
+        "pairs": "kind string, item_a string, item_b string, n bigint",
     }
+    MANIFEST = "name string, version int, rows bigint, buckets int, kind string, total bigint"
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 16):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, bucket_rows: int = BUCKET_ROWS):
+        self.spark, self.buckets, self.bucket_rows = spark, buckets, bucket_rows
         self.path = path or new_path(spark, "pairs")
-        self.files: dict[str, dict[int, str]] = {name: {} for name in self.SCHEMAS}
+        self.layers: dict[str, list[Layer]] = {name: [] for name in self.SCHEMAS}
         self.totals: dict[str, int] = {}
         self.version = 0
-
-    MANIFEST = "name string, bucket int, path string, kind string, total bigint, buckets int"
+        self.last: tuple[DataFrame, DataFrame] | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> PairTable:
         """The table below ``path`` as of its newest manifest; raises where there is none."""
         every = spark.read.schema(f"{cls.MANIFEST}, v int").json(f"{path}/manifest")
-        rows = every.where(F.col("v") == every.agg(F.max("v")).first()[0]).collect()  # a row per bucket and kind
-        table = cls(spark, path, rows[0].buckets)
-        table.version = rows[0].v
-        for r in rows:
+        rows = every.where(F.col("v") == every.agg(F.max("v")).first()[0]).collect()  # a row per layer and kind
+        table = cls(spark, path)
+        for r in sorted(rows, key=lambda r: r.version or 0):
+            table.version = r.v
             if r.name:
-                table.files[r.name][r.bucket] = r.path
+                table.layers[r.name].append(Layer(r.name, r.version, r.rows, r.buckets))
             elif r.kind is not None:
                 table.totals[r.kind] = r.total
         return table
 
     def _save(self) -> None:
-        rows = [(name, b, p, None, None, self.buckets) for name, files in self.files.items() for b, p in files.items()]
-        rows += [(None, None, None, kind, n, self.buckets) for kind, n in self.totals.items()]
-        rows = rows or [(None, None, None, None, None, self.buckets)]
-        self.spark.createDataFrame(rows, self.MANIFEST).coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest/v={self.version}")
-
-    def _bucket(self, *cols: str):
-        return F.pmod(F.xxhash64(*cols), F.lit(self.buckets)).cast("int")
-
-    def read(self, name: str, only: list[int] | None = None) -> DataFrame:
-        paths = sorted({p for b, p in self.files[name].items() if only is None or b in only})
-        if not paths:
+        rows = [{"name": x.name, "version": x.version, "rows": x.rows, "buckets": x.buckets} for some in self.layers.values() for x in some]
+        rows += [{"kind": kind, "total": n} for kind, n in self.totals.items()] or [{}]
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest/v={self.version}/layers.json")
+        out = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(at, True)
+        out.write(bytearray("\n".join(map(json.dumps, rows)), "utf-8"))
+        out.close()
+
+    def _at(self, layer: Layer) -> str:
+        return f"{self.path}/{layer.name}/v={layer.version}"
+
+    def _bucket(self, name: str, buckets: int):
+        return F.pmod(F.xxhash64(*self.KEYS[name]), F.lit(buckets)).cast("int")
+
+    def _layer(self, layer: Layer) -> DataFrame:
+        return self.spark.read.schema(f"{self.SCHEMAS[layer.name]}, part int").parquet(self._at(layer))
+
+    def _write(self, name: str, rows: DataFrame, version: int, expected: int) -> Layer:
+        """``rows`` as a layer; ``expected`` rows, or fewer, decide on its buckets."""
+        buckets = self.buckets or max(1, math.ceil(expected / self.bucket_rows))
+        layer = Layer(name, version, 0, buckets)
+        in_tasks(rows.withColumn("part", self._bucket(name, buckets)), buckets, "part").write.mode("overwrite").partitionBy("part").parquet(self._at(layer))
+        return Layer(name, version, self._layer(layer).count(), buckets)
+
+    def _summed(self, name: str, layers: list[Layer], more: DataFrame | None = None) -> DataFrame:
+        """One row per key over some layers, and more rows: the newest state of a basket, the sum of counts."""
+        keys = self.KEYS[name]
+        parts = [*[self._layer(layer).drop("part") for layer in layers], *([more] if more is not None else [])]
+        if not parts:
             return self.spark.createDataFrame([], self.SCHEMAS[name])
-        return self.spark.read.schema(self.SCHEMAS[name]).parquet(*paths)
-
-    def _write(self, name: str, rows: DataFrame) -> dict[int, str]:
-        """Write rows as ``bucket=b`` folders of a new version; the manifest entries of the buckets written."""
-        root = f"{self.path}/{name}/v={self.version + 1}"
-        rows.withColumn("part", F.col("bucket")).write.mode("overwrite").partitionBy("part").parquet(root)
-        there = self.spark.read.schema(f"{self.SCHEMAS[name]}, part int").parquet(root).select("part").distinct().collect()  # at most ``buckets`` rows
-        return {r[0]: f"{root}/part={r[0]}" for r in there}
-
-    def _stage(self, rows: DataFrame, name: str) -> DataFrame:
-        path = f"{self.path}/deltas/{name}-v={self.version + 1}"
-        rows.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
+        rows = reduce(DataFrame.unionByName, parts)
+        if len(parts) == 1:
+            return rows
+        if name == "baskets":
+            return rows.groupBy(*keys).agg(F.max_by("items", "no").alias("items"), F.max("no").alias("no"))
+        return rows.groupBy(*keys).agg(F.sum("n").alias("n")).where("n != 0")
+
+    def _append(self, name: str, rows: DataFrame, version: int, expected: int) -> list[Layer]:
+        """The layers of a table with ``rows`` added: as one of their own, or merged with those before that aren't twice as large as what follows."""
+        some = self.layers[name]
+        first, size = len(some), expected
+        while first > 0 and 2 * size >= some[first - 1].rows:
+            first -= 1
+            size += some[first].rows
+        if first < len(some):
+            rows = self._summed(name, some[first:], rows)
+        if not first and name == "baskets":
+            rows = rows.where(F.size("items") > 0)  # nothing older that a removal must hide
+        new = self._write(name, rows, version, size)
+        return [*some[:first], *([new] if new.rows else [])]
+
+    def _stored(self, changed: DataFrame) -> DataFrame:
+        """``id, kind, items, no`` of the changed baskets, from their buckets only."""
+        found = self.spark.createDataFrame([], self.SCHEMAS["baskets"])
+        for layer in self.layers["baskets"]:
+            rows = self._layer(layer)
+            if layer.buckets > 1:
+                touched = [r[0] for r in changed.select(self._bucket("baskets", layer.buckets)).distinct().collect()]  # at most as many as buckets
+                rows = rows.where(F.col("part").isin(touched))
+            found = found.unionByName(rows.drop("part"))
+        return found
 
     def apply(self, changed: DataFrame) -> None:
         """Take in the present state of changed baskets (``id, kind, items``; an empty array removes one).
 
-        Of several rows for a basket in one batch, their items are united.
+        Of several rows for a basket in one batch, their items are united. A batch that changes nothing writes nothing.
         """
-        new = changed.groupBy("id", "kind").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("new")).withColumn("bucket", self._bucket("id", "kind"))
-        stored = bool(self.files["baskets"])
-        if stored:
-            old = self.read("baskets").select("id", "kind", F.col("items").alias("old"))
-            delta = new.join(old, (new.id.eqNullSafe(old.id)) & (new.kind == old.kind), "left").select(new.id, new.kind, "new", F.coalesce("old", F.array().cast("array<string>")).alias("old"), "bucket")
-            delta = self._stage(delta.where("old != new"), "baskets")
+        none = F.array().cast("array<string>")
+        new = changed.groupBy("id", "kind").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("new"))
+        if self.layers["baskets"]:
+            new = staged(new, "changed")
+            old = self._stored(new).join(new.select(F.col("id").alias("i"), F.col("kind").alias("k")), F.col("id").eqNullSafe(F.col("i")) & (F.col("kind") == F.col("k")), "left_semi")
+            old = old.groupBy("id", "kind").agg(F.max_by("items", "no").alias("old")).select(F.col("id").alias("i"), F.col("kind").alias("k"), "old")
+            new = new.join(old, F.col("id").eqNullSafe(F.col("i")) & (F.col("kind") == F.col("k")), "left").select("id", "kind", "new", F.coalesce("old", none).alias("old"))
         else:
-            delta = self._stage(new.withColumn("old", F.array().cast("array<string>")).where("size(new) > 0"), "baskets")
-
-        # Deltas of the number of baskets and of the marginals.
-        totals = delta.groupBy("kind").agg(F.sum((F.size("new") > 0).cast("int") - (F.size("old") > 0).cast("int")).alias("d")).collect()  # a row per kind
-        signed = delta.select("kind", F.explode(F.array_except("new", "old")).alias("item"), F.lit(1).alias("d")).unionByName(
-            delta.select("kind", F.explode(F.array_except("old", "new")).alias("item"), F.lit(-1).alias("d"))
-        )
-        d_items = self._stage(signed.groupBy("kind", "item").agg(F.sum("d").alias("d")).where("d != 0").withColumn("bucket", self._bucket("kind", "item")), "items")
-        d_pairs = self._stage(_signed_pairs(delta).withColumn("bucket", self._bucket("kind", "item_a", "item_b")), "pairs")
-
-        written: dict[str, dict[int, str]] = {}
-        touched = {k: [r[0] for r in x.select("bucket").distinct().collect()] for k, x in (("baskets", delta), ("marginals", d_items), ("pairs", d_pairs))}
-        kept = self.read("baskets", touched["baskets"]).join(delta.select("id", "kind"), ["id", "kind"], "left_anti")
-        fresh = delta.where("size(new) > 0").select("id", "kind", F.col("new").alias("items"), "bucket")
-        written["baskets"] = self._write("baskets", kept.unionByName(fresh))
-        merged = self.read("marginals", touched["marginals"]).select("kind", "item", "n", "bucket").unionByName(d_items.select("kind", "item", F.col("d").alias("n"), "bucket"))
-        written["marginals"] = self._write("marginals", merged.groupBy("kind", "item", "bucket").agg(F.sum("n").alias("n")).where("n > 0").select("kind", "item", "n", "bucket"))
-        marginals = {**{b: p for b, p in self.files["marginals"].items() if b not in touched["marginals"]}, **written["marginals"]}
-        self._merge_pairs(d_items, d_pairs, touched["pairs"], marginals, written)
-
-        for name, files in written.items():
-            gone = touched["pairs"] + self._moved if name == "pairs" else touched[name]
-            self.files[name] = {b: p for b, p in self.files[name].items() if b not in gone} | files
-        for kind, d in totals:
-            self.totals[kind] = self.totals.get(kind, 0) + (d or 0)
-        self.version += 1
+            new = new.withColumn("old", none)
+        delta = staged(new.where("old != new"), "delta")
+        gone, come = F.array_except("old", "new"), F.array_except("new", "old")
+        moved = (F.size(gone) + F.size(come)).cast("bigint")
+        per_kind = delta.groupBy("kind").agg(
+            F.count("*").alias("n"), F.sum((F.size("new") > 0).cast("int") - (F.size("old") > 0).cast("int")).alias("d"),
+            F.sum(moved).alias("items"), F.sum(moved * F.size(F.array_union("old", "new"))).alias("pairs"),
+        ).collect()  # a row per kind
+        if not per_kind:
+            if not self.version:
+                self._save()
+            return
+        at = self.version + 1
+        signed = delta.select("kind", F.explode(come).alias("item"), F.lit(1).alias("d")).unionByName(delta.select("kind", F.explode(gone).alias("item"), F.lit(-1).alias("d")))
+        d_items = signed.groupBy("kind", "item").agg(F.sum("d").alias("n")).where("n != 0")
+        d_pairs = _signed_pairs(delta).withColumnRenamed("delta", "n")
+        work = [
+            ("pairs", d_pairs, at, sum(r.pairs for r in per_kind)),
+            ("marginals", d_items, at, sum(r["items"] for r in per_kind)),
+            ("baskets", delta.select("id", "kind", F.col("new").alias("items"), F.lit(at).cast("bigint").alias("no")), at, sum(r.n for r in per_kind)),
+        ]
+        with ThreadPoolExecutor(len(work)) as pool:  # three independent jobs
+            done = [pool.submit(inheritable_thread_target(self.spark)(self._append), *x) for x in work]
+            self.layers = {x[0]: d.result() for x, d in zip(work, done, strict=True)}
+        self.last = (d_items.select("kind", "item"), d_pairs.select("kind", "item_a", "item_b"))
+        for r in per_kind:
+            self.totals[r.kind] = self.totals.get(r.kind, 0) + r.d
+        self.version = at
         self._save()
 
-    def _merge_pairs(self, d_items: DataFrame, d_pairs: DataFrame, touched: list[int], marginals: dict[int, str], written: dict) -> None:
-        """Merge pair deltas and recompute associations where a pair or one of its items changed."""
-        counts = self.read("pairs").select("kind", "item_a", "item_b", "n", "bucket")
-        moved = d_items.select("kind", F.col("item").alias("x"))
-        self._moved: list[int] = []
-        if self.files["pairs"]:
-            # Buckets that hold a pair of an item whose marginal changed.
-            of_moved = counts.join(moved, (counts.kind == moved.kind) & (F.col("item_a") == F.col("x")), "left_semi").select("bucket").union(
-                counts.join(moved, (counts.kind == moved.kind) & (F.col("item_b") == F.col("x")), "left_semi").select("bucket")
-            )
-            self._moved = [r[0] for r in of_moved.distinct().collect()]  # at most ``buckets`` rows
-            counts = self.read("pairs", touched + self._moved).select("kind", "item_a", "item_b", "n", "bucket")
-        merged = (
-            counts.unionByName(d_pairs.select("kind", "item_a", "item_b", F.col("delta").alias("n"), "bucket"))
-            .groupBy("kind", "item_a", "item_b", "bucket").agg(F.sum("n").alias("n")).where("n > 0")
-        )
-        n = self.spark.read.schema(self.SCHEMAS["marginals"]).parquet(*sorted(set(marginals.values()))) if marginals else self.spark.createDataFrame([], self.SCHEMAS["marginals"])
-        a = n.select("kind", F.col("item").alias("item_a"), F.col("n").alias("n_a"))
-        b = n.select("kind", F.col("item").alias("item_b"), F.col("n").alias("n_b"))
-        scored = merged.join(a, ["kind", "item_a"]).join(b, ["kind", "item_b"])
-        written["pairs"] = self._write(
-            "pairs", scored.select("kind", "item_a", "item_b", "n", "n_a", "n_b", (F.col("n") / (F.col("n_a").cast("double") * F.col("n_b"))).alias("per_basket"), "bucket")
-        )
-
-    def pairs(self) -> DataFrame:
-        """``kind, item_a, item_b, n_ab, n_a, n_b, n_baskets, lift`` of every pair that occurs."""
+    def _scored(self, counts: DataFrame) -> DataFrame:
         total = F.lit(None).cast("bigint")
         for kind, n in sorted(self.totals.items()):  # a handful of kinds
             total = F.when(F.col("kind") == kind, F.lit(n).cast("bigint")).otherwise(total)
-        return self.read("pairs").select(
-            "kind", "item_a", "item_b", F.col("n").alias("n_ab"), "n_a", "n_b", total.alias("n_baskets"), (F.col("per_basket") * total).alias("lift")
-        )
+        n = self._summed("marginals", self.layers["marginals"])
+        if sum(x.rows for x in self.layers["marginals"]) <= MAX_BROADCAST_ITEMS:
+            n = F.broadcast(n)
+        for x in "ab":
+            counts = counts.join(n.select("kind", F.col("item").alias(f"item_{x}"), F.col("n").alias(f"n_{x}")), ["kind", f"item_{x}"])
+        lift = F.col("n_ab") * total / (F.col("n_a").cast("double") * F.col("n_b"))
+        return counts.select("kind", "item_a", "item_b", "n_ab", "n_a", "n_b", total.alias("n_baskets"), lift.alias("lift"))
+
+    def pairs(self) -> DataFrame:
+        """``kind, item_a, item_b, n_ab, n_a, n_b, n_baskets, lift`` of every pair that occurs."""
+        return self._scored(self._summed("pairs", self.layers["pairs"]).withColumnRenamed("n", "n_ab"))
+
+    def affected(self) -> DataFrame:
+        """The same of the pairs that the last batch of this object changed, or of which it changed an item's count; pairs that went are left out."""
+        counts = self._summed("pairs", self.layers["pairs"]).withColumnRenamed("n", "n_ab")
+        if self.last is None:
+            return self._scored(counts).limit(0)
+        items, pairs = self.last
+        found = pairs
+        for x in "ab":
+            found = found.unionByName(counts.join(items.withColumnRenamed("item", f"item_{x}"), ["kind", f"item_{x}"], "left_semi").select("kind", "item_a", "item_b"))
+        return self._scored(counts.join(found, ["kind", "item_a", "item_b"], "left_semi"))
+
+    def vacuum(self) -> None:
+        """Remove layers and manifests that the newest manifest doesn't need; readers of older ones must have ended."""
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        needed = {self._at(x) for some in self.layers.values() for x in some} | {f"{self.path}/manifest/v={self.version}"}
+        for name in [*self.SCHEMAS, "manifest"]:
+            root = fs.Path(f"{self.path}/{name}")
+            at = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            for found in at.listStatus(root) if at.exists(root) else ():
+                if f"{self.path}/{name}/{found.getPath().getName()}" not in needed:
+                    at.delete(found.getPath(), True)
 
 
 def associated(pairs: DataFrame, min_count: int = 3, min_share: int = 250, min_lift: int = 3) -> DataFrame:

@@ -41,12 +41,29 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.withColumn("source_table", F.lit("messages")).unionByName(chunks.withColumn("source_table", F.lit("chunks")))
 
 
+def _session_batches(sessions: DataFrame) -> list[DataFrame]:
+    """The sessions as an archive receives them, in three batches of ``id, tags, entities`` whose last states are the table's.
+
+    First those of the earlier two thirds (by ``indexed_at``), of which the later ones still lack their last item and hold a draft mark, and a draft copy of each
+    early one; then the newest third and the changed ones; then the drafts are withdrawn.
+    """
+    lo, hi = (sessions.approxQuantile("indexed_at", [1 / 3, 2 / 3], 0.05) or [0, 0])[:2]
+    rows = sessions.select(F.col("id").cast("string").alias("id"), "tags", "entities", F.when(F.coalesce("indexed_at", F.lit(0)) <= lo, 0).when(F.col("indexed_at") <= hi, 1).otherwise(2).alias("age"))
+    early, later, newest = (rows.where(F.col("age") == x).drop("age") for x in range(3))
+
+    def draft(col: str):
+        return F.when(F.size(col) > 0, F.array_append(F.slice(col, F.lit(1), F.size(col) - 1), F.lit("draft"))).alias(col)
+
+    drafts = early.withColumn("id", F.concat("id", F.lit(" (draft)")))
+    none = F.lit(None).cast("array<string>")
+    return [early.unionByName(drafts).unionByName(later.select("id", draft("tags"), draft("entities"))), newest.unionByName(later), drafts.select("id", none.alias("tags"), none.alias("entities"))]
+
+
 def _pair_table(spark: SparkSession, sf_dir: str) -> cooccurrence.PairTable:
-    """The pair table of all sessions: to an empty table every basket is a change."""
-    sessions = table(spark, sf_dir, "sessions")
-    baskets = cooccurrence.baskets_of(sessions, "id", {"tag": "tags", "entity": "entities"})
+    """The pair table of all sessions after three batches: new baskets, changed ones, removed ones."""
     pairs = cooccurrence.PairTable(spark)
-    pairs.apply(baskets)
+    for batch in _session_batches(table(spark, sf_dir, "sessions")):
+        pairs.apply(cooccurrence.baskets_of(batch, "id", {"tag": "tags", "entity": "entities"}))
     return pairs
 
 
@@ -61,6 +78,12 @@ def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("kind").alias("item_kind"), "item_a", "item_b", "n_ab", "n_baskets", F.round("lift", 6).alias("lift"))
 
 
+def p4_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Associations recomputed after the last batch: of pairs that changed or that hold an item whose count did."""
+    pairs = _pair_table(spark, sf_dir).affected()
+    return pairs.select(F.col("kind").alias("item_kind"), "item_a", "item_b", "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"))
+
+
 def _durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each search once: ``day, week, duration_ms`` of the valid ones."""
     audit = table(spark, sf_dir, "query_audit").where("duration_ms >= 0 AND NOT isnan(duration_ms) AND created_at IS NOT NULL")
@@ -173,7 +196,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_conversations, p3_found, p3_redacted, p4_found, p4_pairs, p5_found, p5_percentiles, p5_weekly, p5_day_bounds, p5_week_bounds, p7_found, p7_containers, p7_totals, p7_limits,
+        p1_found, p1_conversations, p3_found, p3_redacted, p4_found, p4_pairs, p4_affected, p5_found, p5_percentiles, p5_weekly, p5_day_bounds, p5_week_bounds, p7_found, p7_containers, p7_totals, p7_limits,
         p8_found, p8_shares, p8_deviation, p8_filled_shares, p8_selection, p9_found, p9_pieces,
     )
 }
