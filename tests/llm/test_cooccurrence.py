@@ -115,7 +115,7 @@ def test_layers_merge_and_removals_stay_removed(spark):
         state |= changed
         table.apply(baskets_of(spark.createDataFrame(list(changed.items()), "id string, tags array<string>"), "id", {"tag": "tags"}))
         assert held(table) == counted(state)
-        assert all(2 * b.rows < a.rows for some in table.layers.values() for a, b in zip(some, some[1:], strict=False))
+        assert all(b.rows < a.rows for some in table.layers.values() for a, b in zip(some, some[1:], strict=False))
 
 
 def test_affected_pairs(spark):

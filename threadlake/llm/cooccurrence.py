@@ -2,7 +2,7 @@
 
 Changed baskets are compared with what is stored of them; each emits signed deltas for its items (marginals) and for the pairs of a changed item
 with all items of the basket. Deltas are summed map-side and appended as hash-bucketed layers of signed counts; a layer is merged into the one
-before when it has grown to half its size, so a batch writes about its own deltas and a count is written again only a logarithmic number of
+before when it has grown to its size, so a batch writes about its own deltas and a count is written again only a logarithmic number of
 times. Counts are the sums over the few layers there are. Associations follow from counts and marginals when they are read, for all pairs or for those
 that the last batch affected.
 """
@@ -163,10 +163,10 @@ class PairTable:
         return rows.groupBy(*keys).agg(F.sum("n").alias("n")).where("n != 0")
 
     def _append(self, name: str, rows: DataFrame, version: int, expected: int) -> list[Layer]:
-        """The layers of a table with ``rows`` added: as one of their own, or merged with those before that aren't twice as large as what follows."""
+        """The layers of a table with ``rows`` added: as one of their own, or merged with those before that aren't larger than what follows."""
         some = self.layers[name]
         first, size = len(some), expected
-        while first > 0 and 2 * size >= some[first - 1].rows:
+        while first > 0 and size >= some[first - 1].rows:
             first -= 1
             size += some[first].rows
         if first < len(some):
