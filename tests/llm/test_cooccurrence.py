@@ -94,15 +94,17 @@ def test_a_small_batch_writes_little(spark, tmp_path):
     # Three batches, one merge of small layers; files have a kilobyte or two of their own, and frequent items are in every batch.
     assert size_below(table.path) - whole < 3 * 0.05 * whole
     assert len(table.layers["pairs"]) > 1
-    assert held(table) == counted(state)
-    for r in table.affected().collect():
-        assert (r.item_a, r.item_b, r.n_ab, r.n_a, r.n_b, r.n_baskets) in counted(state)
+    want = counted(state)
+    assert held(table) == want
+    some = {(r.item_a, r.item_b, r.n_ab, r.n_a, r.n_b, r.n_baskets) for r in table.affected().collect()}
+    assert some
+    assert some <= want
     before = size_below(table.path)
     apply(keys)  # nothing new
     assert size_below(table.path) == before
     table.vacuum()
     assert size_below(table.path) <= before
-    assert held(PairTable.open(spark, table.path)) == counted(state)
+    assert held(PairTable.open(spark, table.path)) == want
 
 
 def test_layers_merge_and_removals_stay_removed(spark):
