@@ -88,9 +88,34 @@ def test_empty_tables(spark, world):
 
 
 def test_snippets():
-    assert lexical.snippets("x" * 500) == "x" * 300
-    one = lexical.snippets("a" * 200 + "<mark>hit</mark>" + "b" * 200)
-    assert one.startswith("…") and one.endswith("…") and "<mark>hit</mark>" in one
-    two = lexical.snippets("a" * 200 + "<mark>x</mark>" + "b" * 500 + "<mark>y</mark>" + "c" * 200)
-    assert "snippet-gap" in two and two.count("<mark>") == 2
+    assert lexical.snippet("x" * 500, {"hit"}) == "x" * 300
+    assert lexical.snippet(None, {"hit"}) is None
+    assert lexical.snippet("", {"hit"}) == ""
+    one = lexical.snippet("a" * 200 + " hit " + "b" * 200, {"hit"})
+    assert one == "…" + "a" * 149 + " <mark>hit</mark> " + "b" * 149 + "…"
+    two = lexical.snippet("hit " + "b" * 500 + " Hit.", {"hit"})
+    assert two == "<mark>hit</mark> " + "b" * 149 + "…" + lexical.GAP + "…" + "b" * 149 + " <mark>Hit</mark>."
+    near = lexical.snippet("hit " + "b" * 250 + " hit", {"hit"})
+    assert near == "<mark>hit</mark> " + "b" * 250 + " <mark>hit</mark>"
+    assert lexical.snippet("a <b>hit</b> " * 3, {"hit"}).count("<b><mark>hit</mark></b>") == 3  # markup of the text itself is left alone
     assert lexical.mark_terms("Café, cafe", {"cafe"}) == "<mark>Café</mark>, <mark>cafe</mark>"
+
+
+GRAMMAR = {
+    "w1 AND w2": [({"w1", "w2"}, set())], "w1 w2": [({"w1", "w2"}, set())], "w1 OR w2": [({"w1"}, set()), ({"w2"}, set())], "w1 w2 OR w3 NOT w1": [({"w1", "w2"}, set()), ({"w3"}, {"w1"})],
+    "w1 NOT w2 NOT w3": [({"w1"}, {"w2", "w3"})], "w1 or w2": [({"w1", "or", "w2"}, set())], "ORDER w1": [({"order", "w1"}, set())],
+    "AND w1": [], "w1 OR": [], "NOT w1": [], "AND": [], "w1 AND OR w2": [], "w1 AND NOT w2": [], "w1-w2": [], "don't": [], "": [], "w1 NOT w1": [({"w1"}, {"w1"})],
+}
+
+
+def test_query_grammar(spark, world):
+    docs, _ = world
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    texts = list(GRAMMAR)
+    q = spark.createDataFrame(list(enumerate(texts)), "query_id bigint, query string")
+    got = {}
+    for r in lexical.bm25_top(d, q, "doc_id", "text", 1000, mode="grammar", postings_per_block=300).collect():
+        got.setdefault(texts[r.query_id], set()).add(r.doc_id)
+    for text, clauses in GRAMMAR.items():
+        want = {i for i, t in docs if any(yes <= set((t or "").split()) and not no & set((t or "").split()) for yes, no in clauses)}
+        assert got.get(text, set()) == want, text

@@ -8,6 +8,7 @@ equi-join on (term, document), so a term that stands in a third of all documents
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadlake.session import spread, staged
+from threadlake.session import in_tasks, spread, staged
 
 K1, B = 1.2, 0.75
 MAX_BROADCAST_TERMS = 500_000
@@ -75,32 +76,64 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "q
     return terms.withColumn("n_terms", F.count("*").over(Window.partitionBy("query_id")))
 
 
-def _score(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Column:
-    idf = F.log((n - df + 0.5) / (df + 0.5))
-    return F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+#: Words of the query grammar; they count in upper case only.
+_WORDS = "(?:AND|OR|NOT)"
 
 
-def weighted_postings(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, by: str | None = None, extra_tokens: int = 1) -> DataFrame:
-    """``doc_id, [by,] term, df, w`` of the asked terms (``term``): ``w`` is the term's part of the score. Texts are read and cut once.
+def query_clauses(queries: DataFrame, id_col: str = "query_id", text_col: str = "query", compat: bool = True, mode: str = "all") -> DataFrame:
+    """``query_id, clause, term, qtf`` of the queries that can be matched: a document matches if it holds every term of some clause, and none with a ``qtf`` of 0.
 
-    Beside its terms each document leaves a marker row, from which the number of documents and their mean length come. The terms are
-    broadcast up to ``MAX_BROADCAST_TERMS``; beyond that Spark joins by shuffle, for which the markers are spread.
+    ``mode`` "all" makes one clause of all terms, "any" one of each term. "grammar" reads the words AND (also implied), OR and NOT: OR parts clauses, NOT
+    bans the word after it; a query that begins or ends with such a word, or has two in a row, matches nothing. ``compat`` as in ``query_terms``.
     """
-    keys = ["doc_id", *([by] if by else [])]
-    vocabulary = staged(terms.select("term").distinct(), "vocabulary")
-    small = vocabulary.count() <= MAX_BROADCAST_TERMS
-    read = spread(docs.select(F.col(id_col).alias("doc_id"), *([F.col(by)] if by else []), F.col(text_col).alias("_text")), "doc_id")
-    marker = F.concat(F.lit(MARK), F.pmod(F.xxhash64("doc_id"), F.lit(1024)).cast("string"))
-    toks = read.select(*keys, F.coalesce(tokens("_text"), F.array().cast("array<string>")).alias("t"), marker.alias("m"))
-    rows = toks.select(*keys, (F.size("t") + extra_tokens).alias("dl"), F.explode(F.array_append("t", F.col("m"))).alias("term"))
-    asked = vocabulary.withColumn("asked", F.lit(True))
-    kept = rows.join(F.broadcast(asked) if small else asked, "term", "left").where(F.col("asked") | F.col("term").startswith(MARK))
-    post = staged(kept.groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf")), "postings")
-    n, total = post.where(F.col("term").startswith(MARK)).agg(F.sum("tf"), F.sum(F.col("dl") * F.col("tf"))).first()
-    used = post.where(~F.col("term").startswith(MARK))
-    df = used.groupBy("term").agg(F.count("*").alias("df"))
-    score = _score(F.col("tf"), F.col("dl"), F.col("df"), F.lit(float(n or 0)), F.lit((total or 0) / (n or 1)))
-    return used.join(F.broadcast(df) if small else df, "term").select(*keys, "term", "df", score.alias("w"))
+    if mode != "grammar":
+        terms = query_terms(queries, id_col, text_col, compat)
+        clause = F.row_number().over(Window.partitionBy("query_id").orderBy("term")) if mode == "any" else F.lit(1)
+        return terms.select("query_id", clause.alias("clause"), "term", F.col("qtf").cast("bigint").alias("qtf"))
+    clean = queries.select(F.col(id_col).alias("query_id"), sanitize(text_col).alias("q")).where("q != ''")
+    clean = clean.where(~F.col("q").rlike(rf"^{_WORDS}\b|\b{_WORDS}$|\b{_WORDS} {_WORDS}\b"))
+    if compat:
+        clean = clean.where(~F.col("q").rlike("['-]"))
+    parts = clean.select("query_id", F.posexplode(F.split("q", " OR ")).alias("clause", "part"))
+    banned = F.flatten(F.transform(F.regexp_extract_all("part", F.lit(r"\bNOT (\S+)"), 1), tokens))
+    wanted = tokens(F.regexp_replace("part", r"\bNOT \S+|\bAND\b", " "))
+    rows = parts.select("query_id", "clause", F.explode(wanted).alias("term"), F.lit(1).alias("n")).unionByName(parts.select("query_id", "clause", F.explode(banned).alias("term"), F.lit(0).alias("n")))
+    return rows.groupBy("query_id", "clause", "term", "n").agg(F.sum("n").alias("qtf")).drop("n")
+
+
+def scored(tf: Column, dl: Column, df: Column, n: float, avgdl: float) -> Column:
+    """The part of a term in a document's score."""
+    idf = F.log((F.lit(n) - df + 0.5) / (df + 0.5))
+    return F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(avgdl)))
+
+
+class Texts:
+    """Documents as a source of postings: texts are read and cut once for each batch of searches. ``LexicalIndex`` is the stored form."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, extra_tokens: int = 1):
+        self.docs, self.id_col, self.text_col, self.extra = docs, id_col, text_col, extra_tokens
+
+    def weighted(self, terms: DataFrame, by: str | None = None) -> DataFrame:
+        """``doc_id, [by,] term, df, w`` of the asked terms (``term``): ``w`` is the term's part of the score.
+
+        Beside its terms each document leaves a marker row, from which the number of documents and their mean length come. The terms are
+        broadcast up to ``MAX_BROADCAST_TERMS``; beyond that Spark joins by shuffle, for which the markers are spread.
+        """
+        keys = ["doc_id", *([by] if by else [])]
+        vocabulary = staged(terms.select("term").distinct(), "vocabulary")
+        small = vocabulary.count() <= MAX_BROADCAST_TERMS
+        read = spread(self.docs.select(F.col(self.id_col).alias("doc_id"), *([F.col(by)] if by else []), F.col(self.text_col).alias("_text")), "doc_id")
+        marker = F.concat(F.lit(MARK), F.pmod(F.xxhash64("doc_id"), F.lit(1024)).cast("string"))
+        toks = read.select(*keys, F.coalesce(tokens("_text"), F.array().cast("array<string>")).alias("t"), marker.alias("m"))
+        rows = toks.select(*keys, (F.size("t") + self.extra).alias("dl"), F.explode(F.array_append("t", F.col("m"))).alias("term"))
+        asked = vocabulary.withColumn("asked", F.lit(True))
+        kept = rows.join(F.broadcast(asked) if small else asked, "term", "left").where(F.col("asked") | F.col("term").startswith(MARK))
+        post = staged(kept.groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf")), "postings")
+        n, total = post.where(F.col("term").startswith(MARK)).agg(F.sum("tf"), F.sum(F.col("dl") * F.col("tf"))).first()
+        used = post.where(~F.col("term").startswith(MARK))
+        df = used.groupBy("term").agg(F.count("*").alias("df"))
+        score = scored(F.col("tf"), F.col("dl"), F.col("df"), float(n or 0), (total or 0) / (n or 1))
+        return used.join(F.broadcast(df) if small else df, "term").select(*keys, "term", "df", score.alias("w"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, mode: str = "all", compat: bool = True) -> DataFrame:
@@ -110,7 +143,7 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, mode:
     one document each; null texts match nothing.
     """
     terms = staged(query_terms(queries, compat=compat), "terms")
-    used = weighted_postings(docs, terms, id_col, text_col)
+    used = Texts(docs, id_col, text_col).weighted(terms)
     if mode == "any":
         hits = terms.join(used, "term")
     else:
@@ -124,7 +157,7 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, mode:
 
 
 def bm25_top(
-    docs: DataFrame,
+    docs,
     queries: DataFrame,
     id_col: str,
     text_col: str,
@@ -139,43 +172,51 @@ def bm25_top(
 ) -> DataFrame:
     """The best ``k`` matches of each query: ``query_id, doc_id, rank, rk``, or the best groups ``query_id, <by>, rank, rk`` by their best document.
 
-    As ``bm25``, but queries of equal terms are scored once, and all queries meet all postings in blocks: documents are dealt by hash into
-    blocks of bounded size, each block adds up its posting lists per query and keeps the best k, and a last step keeps the best over all
-    blocks. So no match below the best k of its block is ever written out. Ranks are rounded to ``digits``, ties go to the lower id. ``exclude``
-    (``query_id, term``) drops documents that hold such a term. Null ids aren't defined; null texts and empty tables match nothing.
+    ``docs`` are documents, or a ``LexicalIndex`` of them (then the columns aren't looked at). As ``bm25``, with ``mode`` as in ``query_clauses``, but queries
+    of equal terms are scored once, and all queries meet all postings in blocks: documents are dealt by hash into blocks of bounded size, each
+    block adds up its posting lists per query and keeps the best k, and a last step keeps the best over all blocks. So no match below the best k of
+    its block is ever written out. Up to ``terms_per_block`` query terms go to every task as they are; beyond that they are dealt into blocks too. Ranks are
+    rounded to ``digits``, ties go to the lower id. ``exclude`` (``query_id, term``) drops documents that hold such a term. Null ids aren't defined; null
+    texts and empty tables match nothing.
     """
-    terms = query_terms(queries, compat=compat).select("query_id", "term", F.col("qtf").cast("bigint"))
-    if exclude is not None:  # a count of 0 marks a term that must not occur
-        banned = exclude.select("query_id", F.explode(tokens("term")).alias("term")).distinct().join(terms.select("query_id").distinct(), "query_id", "left_semi")
-        terms = terms.unionByName(banned.select("query_id", "term", F.lit(0).cast("bigint").alias("qtf")))
+    terms = query_clauses(queries, compat=compat, mode=mode)
+    if exclude is not None:  # banned in every clause
+        banned = exclude.select("query_id", F.explode(tokens("term")).alias("term")).distinct().join(terms.select("query_id", "clause").distinct(), "query_id")
+        terms = terms.unionByName(banned.select("query_id", "clause", "term", F.lit(0).cast("bigint").alias("qtf")))
     # The terms of one query text, as the name of all queries that hold the same.
-    named = staged(terms.groupBy("query_id").agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("term", "qtf")))), 256).alias("ask"), F.sort_array(F.collect_list(F.struct("term", "qtf"))).alias("ts")), "asks")
-    asks = named.groupBy("ask").agg(F.first("ts").alias("ts")).select("ask", F.explode("ts").alias("t")).select("ask", "t.term", "t.qtf")
-    used = weighted_postings(docs, asks, id_col, text_col, by)
-    r = max(1, math.ceil(used.count() / postings_per_block))
-    q = max(1, math.ceil(asks.count() / terms_per_block))
-    left = used.withColumn("rb", F.pmod(F.xxhash64("doc_id"), F.lit(r))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q - 1))))
-    right = asks.withColumn("qb", F.pmod(F.xxhash64("ask"), F.lit(q)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(r - 1).cast("bigint"))))
+    ts = F.sort_array(F.collect_list(F.struct("clause", "term", "qtf")))
+    named = staged(terms.groupBy("query_id").agg(ts.alias("ts")).withColumn("ask", F.sha2(F.to_json("ts"), 256)), "asks")
+    asks = named.groupBy("ask").agg(F.first("ts").alias("ts")).select("ask", F.explode("ts").alias("t")).select("ask", "t.*")
+    used = (docs if hasattr(docs, "weighted") else Texts(docs, id_col, text_col)).weighted(asks, by)
+    n, few = used.count(), asks.limit(terms_per_block + 1).toPandas()
+    r = max(1, math.ceil(n / postings_per_block), min(used.sparkSession.sparkContext.defaultParallelism, n // 20_000))
+    left = used.withColumn("rb", F.pmod(F.xxhash64("doc_id"), F.lit(r)).cast("int"))
     key = by or "doc_id"
 
     def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out: tuple[list, list, list] = ([], [], [])
         if not a.empty and not b.empty:
-            for ask, found, rank in _best_of_block(a, b, key, k, mode, digits):
+            for ask, found, rank in _best_of_block(a, b, key, k, digits):
                 out[0].extend([ask] * len(found))
                 out[1].extend(found)
                 out[2].extend(rank)
         return pd.DataFrame({"ask": pd.Series(out[0], dtype=object), key: pd.Series(out[1], dtype=object), "rank": pd.Series(out[2], dtype=float)})
 
     schema = T.StructType([T.StructField("ask", T.StringType()), T.StructField(key, used.schema[key].dataType), T.StructField("rank", T.DoubleType())])
-    best = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(block, schema)
+    if len(few) <= terms_per_block:
+        best = in_tasks(left, r, "rb").groupBy("rb").applyInPandas(lambda a: block(a, few), schema)
+    else:
+        q = math.ceil(asks.count() / terms_per_block)
+        left = left.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q - 1))))
+        right = asks.withColumn("qb", F.pmod(F.xxhash64("ask"), F.lit(q)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(r - 1))))
+        best = in_tasks(left, r * q, "rb", "qb").groupBy("rb", "qb").cogroup(in_tasks(right, r * q, "rb", "qb").groupBy("rb", "qb")).applyInPandas(block, schema)
     if by:
         best = best.groupBy("ask", by).agg(F.min("rank").alias("rank"))
     top = best.withColumn("rk", F.row_number().over(Window.partitionBy("ask").orderBy("rank", key))).where(F.col("rk") <= k)
     return named.select("query_id", "ask").join(top, "ask").select("query_id", key, "rank", "rk")
 
 
-def _best_of_block(a: pd.DataFrame, b: pd.DataFrame, key: str, k: int, mode: str, digits: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+def _best_of_block(a: pd.DataFrame, b: pd.DataFrame, key: str, k: int, digits: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """(ask, keys, ranks) of the best ``k`` in one block of postings ``a`` for each ask of ``b``."""
     ids, first, doc = np.unique(a["doc_id"].to_numpy(), return_index=True, return_inverse=True)
     keys, group = np.unique(a[key].to_numpy()[first], return_inverse=True) if key != "doc_id" else (ids, None)
@@ -184,26 +225,34 @@ def _best_of_block(a: pd.DataFrame, b: pd.DataFrame, key: str, k: int, mode: str
     ends = np.searchsorted(codes[order], np.arange(len(words) + 1))
     doc, w = doc[order], a["w"].to_numpy()[order]
     place = {t: i for i, t in enumerate(words)}
-    b = b.sort_values("ask", kind="stable", ignore_index=True)
+    b = b.sort_values(["ask", "clause"], kind="stable", ignore_index=True)
     starts = np.flatnonzero(b["ask"].ne(b["ask"].shift()).to_numpy()).tolist() + [len(b)]
-    asks, terms, counts = b["ask"].tolist(), b["term"].tolist(), b["qtf"].tolist()
-    n = len(ids)
+    asks, clauses, terms, counts = b["ask"].tolist(), b["clause"].tolist(), b["term"].tolist(), b["qtf"].tolist()
+    n, nobody = len(ids), np.empty(0, np.int64)
     for lo, hi in zip(starts, starts[1:]):
-        lists = [(place.get(terms[i]), counts[i]) for i in range(lo, hi)]
-        wanted = [x for x in lists if x[1]]
-        if all(p is None for p, _ in wanted) or mode == "all" and any(p is None for p, _ in wanted):
-            continue
-        score, held, out = np.zeros(n), np.zeros(n, np.int32), np.zeros(n, bool)
-        for p, qtf in lists:
-            if p is None:
+        lists = {t: doc[ends[p] : ends[p + 1]] if (p := place.get(t)) is not None else nobody for t in terms[lo:hi]}
+        hits = []
+        for c in dict.fromkeys(clauses[lo:hi]):
+            mine = [i for i in range(lo, hi) if clauses[i] == c]
+            wanted = sorted((lists[terms[i]] for i in mine if counts[i]), key=len)
+            if not wanted or not len(wanted[0]):
                 continue
-            at = doc[ends[p] : ends[p + 1]]
-            if qtf:
-                score += qtf * np.bincount(at, w[ends[p] : ends[p + 1]], n)
-                held += np.bincount(at, minlength=n) > 0
-            else:
-                out[at] = True
-        hit = np.flatnonzero(((held == len(wanted)) if mode == "all" else (held > 0)) & ~out)
+            held = wanted[0]
+            for other in wanted[1:]:
+                held = held[np.isin(held, other, kind="table")]
+            for i in mine:
+                if not counts[i]:
+                    held = held[~np.isin(held, lists[terms[i]], kind="table")]
+            hits.append(held)
+        hit = hits[0] if len(hits) == 1 else np.unique(np.concatenate(hits)) if hits else nobody
+        if not len(hit):
+            continue
+        score = np.zeros(n)
+        for i in range(lo, hi):
+            p = place.get(terms[i])
+            if counts[i] and p is not None:
+                score[doc[ends[p] : ends[p + 1]]] += counts[i] * w[ends[p] : ends[p + 1]]  # a document is once in a list
+        hit = np.sort(hit)
         rank = np.round(-score[hit], digits) + 0.0
         ordered = np.argsort(rank, kind="stable")
         hit, rank = hit[ordered], rank[ordered]
@@ -222,52 +271,60 @@ def top_per_query(rows: DataFrame, order: list[Column], k: int | Column, name: s
 
 
 def highlight(rows: DataFrame, text_col: str, terms_col: str, window: int = 150) -> DataFrame:
-    """``highlighted`` (terms in mark tags) and ``snippet`` (pieces around the marks, merged) for each row.
+    """``highlighted`` (terms in mark tags) and ``snippet`` (the surroundings of the terms) for each row.
 
-    ``terms_col`` holds the folded terms of the row's query. Without a mark the snippet is the first ``2 * window`` characters.
+    ``terms_col`` holds the folded terms of the row's query. Without a match the snippet is the first ``2 * window`` characters.
     """
     schema = T.StructType([*rows.schema.fields, T.StructField("highlighted", T.StringType()), T.StructField("snippet", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pairs = [mark_terms(t, set(ts if ts is not None else ())) for t, ts in zip(pdf[text_col], pdf[terms_col], strict=True)]
-            yield pdf.assign(highlighted=pairs, snippet=[snippets(p, window) for p in pairs])
+            pairs = [(t, set(ts if ts is not None else ())) for t, ts in zip(pdf[text_col], pdf[terms_col], strict=True)]
+            yield pdf.assign(highlighted=[mark_terms(*p) for p in pairs], snippet=[snippet(*p, window) for p in pairs])
 
     return rows.mapInPandas(run, schema)
 
 
 _FOLD = str.maketrans(ACCENTED, PLAIN)
+_TOKEN = re.compile(r"[^\W_]+")
+GAP = " <span class='snippet-gap'>…</span> "
+
+
+def _places(text: str, terms: set[str]) -> list[tuple[int, int]]:
+    """(start, end) of the tokens of ``text`` whose folded form is in ``terms``."""
+    return [m.span() for m in _TOKEN.finditer(text) if m[0].lower().translate(_FOLD) in terms]
+
+
+def _marked(text: str, lo: int, hi: int, places: list[tuple[int, int]]) -> str:
+    """``text[lo:hi]`` with the places in it wrapped in mark tags."""
+    out, at = [], lo
+    for a, b in places:
+        out += [text[at:a], "<mark>", text[a:b], "</mark>"]
+        at = b
+    return "".join([*out, text[at:hi]])
 
 
 def mark_terms(text: str | None, terms: set[str]) -> str | None:
     """``text`` with each token whose folded form is in ``terms`` wrapped in mark tags."""
-    if text is None:
-        return None
-    import re
+    return None if text is None else _marked(text, 0, len(text), _places(text, terms))
 
-    return re.sub(r"[^\W_]+", lambda m: f"<mark>{m[0]}</mark>" if m[0].lower().translate(_FOLD) in terms else m[0], text)
 
+def snippet(text: str | None, terms: set[str], window: int = 150) -> str | None:
+    """The matched tokens with ``window`` characters of text on either side, what touches in one piece, an ellipsis where text is left out.
 
-def snippets(html: str | None, window: int = 150) -> str | None:
-    """Slices around the marks, overlapping ones merged, broken tags at their ends dropped."""
-    if html is None:
+    Distances are those of the text, not of its marked form. A token that the edge of a piece falls into is a whole match of its own, so pieces never
+    cut a mark.
+    """
+    if text is None:
         return None
-    import re
-
-    spans: list[list[int]] = []
-    for m in re.finditer(r"<mark>.*?(?:</mark>|$)", html, re.S):
-        lo, hi = max(0, m.start() - window), min(len(html), m.end() + window)
-        if spans and lo <= spans[-1][1]:
-            spans[-1][1] = max(hi, spans[-1][1])
-        else:
-            spans.append([lo, hi])
-    if not spans:
-        return html[: 2 * window]
-    parts = []
-    for lo, hi in spans:
-        part = html[lo:hi]
-        if lo:
-            part = "…" + re.sub(r"^[^<>]*>", "", part)
-        part = re.sub(r"<[^>]*$", "", part)
-        parts.append(part + ("…" if hi < len(html) else ""))
-    return " <span class='snippet-gap'>…</span> ".join(parts)
+    places = _places(text, terms)
+    if not places:
+        return text[: 2 * window]
+    starts, ends = (np.array(x) for x in zip(*places, strict=True))
+    lo, hi = np.maximum(starts - window, 0), np.minimum(ends + window, len(text))
+    first = np.flatnonzero(np.r_[True, lo[1:] > hi[:-1]])  # ends rise with starts, so only neighbours can touch
+    pieces = []
+    for i, j in zip(first.tolist(), [*first[1:].tolist(), len(places)], strict=True):
+        a, b = int(lo[i]), int(hi[j - 1])
+        pieces.append(("…" if a else "") + _marked(text, a, b, places[i:j]) + ("…" if b < len(text) else ""))
+    return GAP.join(pieces)

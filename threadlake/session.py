@@ -106,6 +106,13 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
 
 
+def stamp(spark: SparkSession, path: str) -> str:
+    """What tells one state of a table's files from another: their names, sizes and times."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return "|".join(sorted(f"{x.getPath()} {x.getLen()} {x.getModificationTime()}" for x in found))
+
+
 def in_tasks(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """``df`` by ``keys`` in a fixed number of tasks, for steps whose work isn't shown by the bytes they read.
 
