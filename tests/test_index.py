@@ -62,5 +62,5 @@ def test_a_search_reads_no_text(spark):
     docs = spark.createDataFrame([(1, "a", "w1 w2", "", 0)], DOCS)
     index = LexicalIndex(spark)
     index.refresh(docs, "session", "doc_id", "text")
-    plan = index.weighted(spark.createDataFrame([("w1",)], "term string"))._jdf.queryExecution().optimizedPlan().toString()
+    plan = index.found(spark.createDataFrame([("w1",)], "term string"))[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan

@@ -53,9 +53,11 @@ def daily(sessions: DataFrame, hours: bool = False) -> DataFrame:
     return sessions.where(F.coalesce(F.col("date"), F.lit("")) != "").groupBy("date").agg(value.alias("value"))
 
 
-def filled_calendar(days: DataFrame, lo: str, hi: str) -> DataFrame:
-    """Every day from ``lo`` to ``hi`` with its value, 0 where there is none."""
-    cal = days.sparkSession.range(1).select(F.explode(F.sequence(F.lit(lo).cast("date"), F.lit(hi).cast("date"))).alias("d")).select(F.date_format("d", "yyyy-MM-dd").alias("date"))
+def filled_calendar(days: DataFrame, lo: str | None = None, hi: str | None = None) -> DataFrame:
+    """Every day from ``lo`` to ``hi`` with its value, 0 where there is none; an end that isn't given is that of ``days``. What is no date is left out."""
+    ends = days.agg(F.min(F.col("date").try_cast("date")).alias("lo"), F.max(F.col("date").try_cast("date")).alias("hi"))  # one row
+    lo_, hi_ = (F.lit(x).cast("date") if x else F.col(c) for x, c in ((lo, "lo"), (hi, "hi")))
+    cal = ends.where(lo_.isNotNull() & hi_.isNotNull()).select(F.explode(F.sequence(lo_, hi_)).alias("d")).select(F.date_format("d", "yyyy-MM-dd").alias("date"))
     return cal.join(days, "date", "left").fillna(0, ["value"])
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlake.operators.lexical import bm25_top, top_per_query
+from threadlake.operators.index import LexicalIndex
+from threadlake.operators.lexical import bm25_top, highlight, query_terms, top_per_query
+from threadlake.operators.transcripts import preview
 from threadlake.operators.vectors import knn
 
 RRF = 60
@@ -38,18 +40,38 @@ def hybrid_search(
     keep: DataFrame | None = None,
     prefilter: bool = False,
     compat: bool = True,
+    group: str = "project",
+    index: LexicalIndex | None = None,
+    mode: str = "all",
 ) -> DataFrame:
-    """Hybrid search of a batch: ``query_id, project, doc_id, score, place``.
+    """Hybrid search of a batch: ``query_id, <group>, doc_id, score, place``, the best document of each group.
 
-    ``docs`` has ``doc_id, project, text``; ``vectors`` ``vec_id, embedding``; ``queries`` ``query_id, query, embedding``. Each side gives 5 k candidates.
-    ``keep`` (``doc_id``) filters after that, as the reference semantics want it, or before with ``prefilter``.
+    ``docs`` has ``doc_id``, the group and ``text``; ``vectors`` ``vec_id, embedding``; ``queries`` ``query_id, query, embedding``. Each side gives 5 k candidates, the
+    lexical one from ``index`` if there is one. ``keep`` (``doc_id``) filters after that, as the reference semantics want it, or before with
+    ``prefilter`` (then the texts themselves are searched). Documents without a group are left out.
     """
     if keep is not None and prefilter:
         docs, vectors = docs.join(keep, "doc_id", "left_semi"), vectors.join(keep.withColumnRenamed("doc_id", "vec_id"), "vec_id", "left_semi")
-    lexical = bm25_top(docs, queries, "doc_id", "text", 5 * k, compat=compat, digits=9).withColumnRenamed("rk", "bm25_rk")
+    source = docs if index is None or prefilter else index
+    lexical = bm25_top(source, queries, "doc_id", "text", 5 * k, mode=mode, compat=compat, digits=9).withColumnRenamed("rk", "bm25_rk")
     vector = knn(vectors, queries, 5 * k).select("query_id", F.col("id").alias("doc_id"), F.col("rk").alias("knn_rk"))
     fused = fuse(lexical, vector)
     if keep is not None and not prefilter:
         fused = fused.join(keep, "doc_id", "left_semi")
-    best = best_per_group(fused, docs.select("doc_id", "project"), "project")
+    best = best_per_group(fused, docs.where(F.col(group).isNotNull()).select("doc_id", group), group)
     return top_per_query(best, [F.round("score", 12).desc(), F.col("doc_id")], k, "place")
+
+
+def with_session(found: DataFrame, docs: DataFrame, sessions: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """Results by session (``query_id, session_id, doc_id, ...``) with the session's fields and the best document's ``preview``; unknown sessions drop out.
+
+    With ``queries`` (``query_id, query``) also ``snippet``: the surroundings of the terms, null where the document holds none of them.
+    """
+    fields = [c for c in ("project", "date", "indexed_at", "last_message_at", "title", "summary") if c in sessions.columns]
+    rows = found.join(sessions.select(F.col("id").alias("session_id"), *fields), "session_id").join(docs.select("doc_id", F.col("text").alias("_text")), "doc_id", "left")
+    rows = rows.withColumn("preview", preview(F.coalesce("_text", F.lit(""))))
+    if queries is None:
+        return rows.drop("_text")
+    terms = query_terms(queries).groupBy("query_id").agg(F.collect_set("term").alias("_terms"))  # terms of one query text
+    marked = highlight(rows.join(terms, "query_id", "left"), "_text", "_terms")
+    return marked.withColumn("snippet", F.when(F.col("highlighted").contains("<mark>"), F.col("snippet"))).drop("_text", "_terms", "highlighted")

@@ -14,7 +14,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.operators.lexical import MAX_BROADCAST_TERMS, scored, tokens
+from threadlake.operators.lexical import MAX_BROADCAST_TERMS, tokens
 from threadlake.session import in_tasks, new_path, spread, staged
 
 #: Postings that lie in one bucket of a layer, and keys whose versions are broadcast.
@@ -124,21 +124,17 @@ class LexicalIndex:
             return self.spark.createDataFrame([], "key string, doc_id " + self.id_type + ", dl int, term string, tf bigint")
         return self._standing(self._read("postings", self.POSTINGS, self.layers), self.layers).select("key", "doc_id", "dl", "term", "tf")
 
-    def weighted(self, terms: DataFrame, by: str | None = None) -> DataFrame:
-        """As ``lexical.Texts.weighted``; ``by`` names the key."""
-        keys = ["doc_id", *([by] if by else [])]
-        vocabulary = staged(terms.select("term").distinct(), "vocabulary")
-        small = vocabulary.count() <= MAX_BROADCAST_TERMS
-        found = self.postings().limit(0)
+    def found(self, terms: DataFrame, by: str | None = None) -> tuple[DataFrame, int, float]:
+        """As ``lexical.Texts.found``; ``by`` names the key."""
+        small = terms.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
+        words = F.broadcast(terms) if small else terms
+        keys, found = ["doc_id", *(["key"] if by else [])], self.postings().limit(0)
         for layer in self.layers:
             rows = self._read("postings", self.POSTINGS, [layer])
             if layer.buckets > 1:
                 part = F.pmod(F.xxhash64("term"), F.lit(layer.buckets)).cast("int")
-                rows = rows.where(F.col("part").isin([r[0] for r in vocabulary.select(part).distinct().collect()]))  # at most as many as buckets
-            rows = rows.join(F.broadcast(vocabulary) if small else vocabulary, "term", "left_semi")
-            found = found.unionByName(self._standing(rows, self.layers).select("key", "doc_id", "dl", "term", "tf"))
-        used = staged(found, "found")
-        df = used.groupBy("term").agg(F.count("*").alias("df"))
-        score = scored(F.col("tf"), F.col("dl"), F.col("df"), float(self.n_docs), self.total / max(1, self.n_docs))
-        renamed = used.withColumnRenamed("key", by) if by else used
-        return renamed.join(F.broadcast(df) if small else df, "term").select(*keys, "term", "df", score.alias("w"))
+                rows = rows.where(F.col("part").isin([r[0] for r in terms.select(part).distinct().collect()]))  # at most as many as buckets
+            rows = self._standing(rows.join(words, "term", "left_semi"), self.layers).select("key", "doc_id", "dl", "term", "tf")
+            found = rows if layer is self.layers[0] else found.unionByName(rows)
+        found = found.select(*keys, "dl", "term", "tf")
+        return (found.withColumnRenamed("key", by) if by else found), self.n_docs, self.total / max(1, self.n_docs)

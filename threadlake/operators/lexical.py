@@ -113,8 +113,8 @@ class Texts:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, extra_tokens: int = 1):
         self.docs, self.id_col, self.text_col, self.extra = docs, id_col, text_col, extra_tokens
 
-    def weighted(self, terms: DataFrame, by: str | None = None) -> DataFrame:
-        """``doc_id, [by,] term, df, w`` of the asked terms (``term``): ``w`` is the term's part of the score.
+    def found(self, terms: DataFrame, by: str | None = None) -> tuple[DataFrame, int, float]:
+        """(``doc_id, [by,] dl, term, tf`` of the asked terms (``term``), the number of documents, their mean length).
 
         Beside its terms each document leaves a marker row, from which the number of documents and their mean length come. The terms are
         broadcast up to ``MAX_BROADCAST_TERMS``; beyond that Spark joins by shuffle, for which the markers are spread.
@@ -130,10 +130,16 @@ class Texts:
         kept = rows.join(F.broadcast(asked) if small else asked, "term", "left").where(F.col("asked") | F.col("term").startswith(MARK))
         post = staged(kept.groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf")), "postings")
         n, total = post.where(F.col("term").startswith(MARK)).agg(F.sum("tf"), F.sum(F.col("dl") * F.col("tf"))).first()
-        used = post.where(~F.col("term").startswith(MARK))
-        df = used.groupBy("term").agg(F.count("*").alias("df"))
-        score = scored(F.col("tf"), F.col("dl"), F.col("df"), float(n or 0), (total or 0) / (n or 1))
-        return used.join(F.broadcast(df) if small else df, "term").select(*keys, "term", "df", score.alias("w"))
+        return post.where(~F.col("term").startswith(MARK)), n or 0, (total or 0) / (n or 1)
+
+
+def weighted(source, terms: DataFrame, by: str | None = None) -> DataFrame:
+    """``doc_id, [by,] term, df, w`` of the asked terms in a source of postings: ``w`` is the term's part of the score."""
+    used, n, avgdl = source.found(terms, by)
+    used = staged(used, "found")
+    df = used.groupBy("term").agg(F.count("*").alias("df"))
+    score = scored(F.col("tf"), F.col("dl"), F.col("df"), float(n), avgdl)
+    return used.join(F.broadcast(df) if df.count() <= MAX_BROADCAST_TERMS else df, "term").select("doc_id", *([by] if by else []), "term", "df", score.alias("w"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, mode: str = "all", compat: bool = True) -> DataFrame:
@@ -143,7 +149,7 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, mode:
     one document each; null texts match nothing.
     """
     terms = staged(query_terms(queries, compat=compat), "terms")
-    used = Texts(docs, id_col, text_col).weighted(terms)
+    used = weighted(Texts(docs, id_col, text_col), terms)
     if mode == "any":
         hits = terms.join(used, "term")
     else:
@@ -187,11 +193,8 @@ def bm25_top(
     ts = F.sort_array(F.collect_list(F.struct("clause", "term", "qtf")))
     named = staged(terms.groupBy("query_id").agg(ts.alias("ts")).withColumn("ask", F.sha2(F.to_json("ts"), 256)), "asks")
     asks = named.groupBy("ask").agg(F.first("ts").alias("ts")).select("ask", F.explode("ts").alias("t")).select("ask", "t.*")
-    used = (docs if hasattr(docs, "weighted") else Texts(docs, id_col, text_col)).weighted(asks, by)
-    n, few = used.count(), asks.limit(terms_per_block + 1).toPandas()
-    r = max(1, math.ceil(n / postings_per_block), min(used.sparkSession.sparkContext.defaultParallelism, n // 20_000))
-    left = used.withColumn("rb", F.pmod(F.xxhash64("doc_id"), F.lit(r)).cast("int"))
-    key = by or "doc_id"
+    source = docs if hasattr(docs, "found") else Texts(docs, id_col, text_col)
+    spark, key = named.sparkSession, by or "doc_id"
 
     def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out: tuple[list, list, list] = ([], [], [])
@@ -202,13 +205,29 @@ def bm25_top(
                 out[2].extend(rank)
         return pd.DataFrame({"ask": pd.Series(out[0], dtype=object), key: pd.Series(out[1], dtype=object), "rank": pd.Series(out[2], dtype=float)})
 
-    schema = T.StructType([T.StructField("ask", T.StringType()), T.StructField(key, used.schema[key].dataType), T.StructField("rank", T.DoubleType())])
+    def dealt(used: DataFrame, n: int) -> tuple[DataFrame, int]:
+        r = max(1, math.ceil(n / postings_per_block), min(spark.sparkContext.defaultParallelism, n // 20_000))
+        return used.withColumn("rb", F.pmod(F.xxhash64("doc_id"), F.lit(r)).cast("int")), r
+
+    few = asks.limit(terms_per_block + 1).toPandas()
     if len(few) <= terms_per_block:
-        best = in_tasks(left, r, "rb").groupBy("rb").applyInPandas(lambda a: block(a, few), schema)
+        words = spark.createDataFrame([(t,) for t in few["term"].unique().tolist()], "term string")
+        used, n_docs, avgdl = source.found(words, by)
+        df = {r[0]: r[1] for r in used.groupBy("term").count().collect()}  # no more than the words asked for
+        left, r = dealt(used, sum(df.values()))
+
+        def of_block(a: pd.DataFrame) -> pd.DataFrame:
+            return block(a.assign(w=_weights(a, df, n_docs, avgdl)), few)
+
+        schema = T.StructType([T.StructField("ask", T.StringType()), T.StructField(key, used.schema[key].dataType), T.StructField("rank", T.DoubleType())])
+        best = in_tasks(left, r, "rb").groupBy("rb").applyInPandas(of_block, schema)
     else:
+        used = weighted(source, asks, by)
+        left, r = dealt(used, used.count())
         q = math.ceil(asks.count() / terms_per_block)
         left = left.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q - 1))))
         right = asks.withColumn("qb", F.pmod(F.xxhash64("ask"), F.lit(q)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(r - 1))))
+        schema = T.StructType([T.StructField("ask", T.StringType()), T.StructField(key, used.schema[key].dataType), T.StructField("rank", T.DoubleType())])
         best = in_tasks(left, r * q, "rb", "qb").groupBy("rb", "qb").cogroup(in_tasks(right, r * q, "rb", "qb").groupBy("rb", "qb")).applyInPandas(block, schema)
     if by:
         best = best.groupBy("ask", by).agg(F.min("rank").alias("rank"))
@@ -216,6 +235,15 @@ def bm25_top(
     return named.select("query_id", "ask").join(top, "ask").select("query_id", key, "rank", "rk")
 
 
+def _weights(a: pd.DataFrame, df: dict[str, int], n: int, avgdl: float) -> np.ndarray:
+    """``scored`` for a block of postings."""
+    codes, words = pd.factorize(a["term"])
+    have = np.array([df[t] for t in words], float)
+    idf = np.log((n - have + 0.5) / (have + 0.5))
+    tf, dl = a["tf"].to_numpy(float), a["dl"].to_numpy(float)
+    return np.where(idf <= 0, 1e-6, idf)[codes] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
 def _best_of_block(a: pd.DataFrame, b: pd.DataFrame, key: str, k: int, digits: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """(ask, keys, ranks) of the best ``k`` in one block of postings ``a`` for each ask of ``b``."""
     ids, first, doc = np.unique(a["doc_id"].to_numpy(), return_index=True, return_inverse=True)

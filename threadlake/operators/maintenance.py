@@ -114,7 +114,31 @@ def latest_by_priority(live: DataFrame, archive: DataFrame, key: str) -> DataFra
     return live.unionByName(archive.join(live.select(key), key, "left_anti"))
 
 
-def capped_sample(rows: DataFrame, group: str, key: str, least: int = 3, share: int | None = None, seed: int = 1) -> DataFrame:
-    """A sampling operator: at most max(``least``, n div groups) rows of each group, in an order fixed by md5 of key and seed."""
-    w = Window.partitionBy(group).orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))))
-    return rows.withColumn("_no", F.row_number().over(w)).where(F.col("_no") <= max(least, share or 0)).drop("_no")
+def capped_sample(rows: DataFrame, group: str, key: str, n: int = 100, least: int = 3, seed: int = 1) -> DataFrame:
+    """A sampling operator: ``n`` rows in an order fixed by md5 of key and seed, of each group at most max(``least``, n div groups)."""
+    order = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
+    groups = rows.select(group).distinct().count()
+    w = Window.partitionBy(group).orderBy(order, key)
+    capped = rows.withColumn("_no", F.row_number().over(w)).where(F.col("_no") <= max(least, n // max(1, groups))).drop("_no")
+    return capped.orderBy(order, key).limit(n)
+
+
+def finished_without_chunks(pending: DataFrame, chunks: DataFrame, at_ms: int, version: int = ENRICHMENT_VERSION) -> DataFrame:
+    """Queued sessions that hold no text to enrich, marked as done so that they leave the queue."""
+    none = pending.join(chunks.where("seq >= 0").select(F.col("session_id").alias("id")), "id", "left_anti")
+    return none.withColumn("enriched_at", F.lit(at_ms).cast("bigint")).withColumn("enrichment_version", F.lit(version).cast(pending.schema["enrichment_version"].dataType))
+
+
+def archived(files: DataFrame, stored: DataFrame) -> DataFrame:
+    """Files (``project, name, raw``) that the archive (``project, name``) doesn't hold yet; of equal ones one."""
+    return files.dropDuplicates(["project", "name"]).join(stored.select("project", "name").distinct(), ["project", "name"], "left_anti")
+
+
+def archive(files: DataFrame, path: str) -> None:
+    """Copy files into an archive of Parquet folders by project; what is there stays as it is."""
+    spark = files.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    schema = files.select("project", "name", "raw").schema
+    stored = spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    archived(files.select("project", "name", "raw"), stored).write.mode("append").partitionBy("project").parquet(path)

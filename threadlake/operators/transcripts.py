@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from threadlake.functions.instants import instant_ms
 from threadlake.functions.text import is_blank, strip
+from threadlake.session import staged
 
 # Line types that are no conversation, and the input field that sums up a call of each tool.
 NOISE_TYPES = ("file-history-snapshot", "system", "progress")
@@ -27,11 +28,12 @@ def strip_markup(text: Column | str) -> Column:
 
 
 def tool_summary(name: Column, input_json: Column) -> Column:
-    """``Name: `…```: the tool's telling field, else its whole input, cut to 80 characters."""
-    field = F.lit(None).cast("string")
+    """``Name: `…```: the tool's telling field if it is a string, else its whole input, cut to 80 characters."""
+    fields, value = F.try_parse_json(input_json), F.lit(None).cast("string")
     for tool, key in TOOL_FIELD.items():
-        field = F.when(name == tool, F.get_json_object(input_json, f"$.{key}")).otherwise(field)
-    raw = F.coalesce(field, F.get_json_object(input_json, "$"), F.lit("{}"))
+        field = F.try_variant_get(fields, f"$.{key}", "variant")
+        value = F.when(name == tool, F.when(F.schema_of_variant(field) == "STRING", F.try_variant_get(fields, f"$.{key}", "string"))).otherwise(value)
+    raw = F.coalesce(value, F.get_json_object(input_json, "$"), F.lit("{}"))
     cut = F.when(F.length(raw) > 80, F.concat(F.substring(raw, 1, 80), F.lit("…"))).otherwise(raw)
     return F.concat(name, F.lit(": `"), cut, F.lit("`"))
 
@@ -98,25 +100,30 @@ def active_duration(events: DataFrame, key: str, ts_ms: str, cap_ms: int = IDLE_
 def session_headers(messages: DataFrame) -> DataFrame:
     """One header per session: title, date, project, turns, last message, active seconds.
 
-    All by aggregates that combine map-side. Blank ``date`` and ``project`` stay ''.
+    The copy of a line that counts is chosen from narrow columns and staged once; texts are read in one more scan, where the first turn of a user alone is
+    wanted, and cut to what a title needs as early as it can be. Blank ``date`` and ``project`` stay ''.
     """
-    lines = unique_lines(messages)
-    talk = conversation_lines(lines)
-    heads = talk.groupBy("session_id").agg(
+    turn = F.col("type").isin("user", "assistant") & (F.col("role") == F.col("type")) & ~is_blank("content_text")
+    said = F.when(F.col("role") == "user", strip_markup("content_text")).otherwise(strip("content_text"))
+    narrow = messages.select(
+        "session_id", "line_no", "line_id", instant_ms("timestamp").alias("ms"), "type", "role", "ismeta", "issidechain", F.when(~is_blank("cwd"), F.col("cwd")).alias("cwd"),
+        F.when(turn & (said != ""), F.substring(said, 1, 120)).alias("said"),
+    )
+    kept = narrow.groupBy("session_id", "line_no").agg(F.min_by(F.struct("ms", "type", "role", "ismeta", "issidechain", "cwd", "said"), "line_id").alias("x"))
+    lines = staged(kept.select("session_id", "line_no", "x.*"), "header-lines")
+    talk = conversation_lines(lines).groupBy("session_id").agg(
         F.min_by("ms", F.when(F.col("ms").isNotNull(), F.col("line_no"))).alias("first_ms"),
-        F.min_by("cwd", F.when(~is_blank("cwd"), F.col("line_no"))).alias("cwd"),
-    )
-    said = turns(lines).groupBy("session_id").agg(
-        F.min_by("text", F.when(F.col("role") == "user", F.col("line_no"))).alias("first_text"),
-        F.count_if(F.col("role") == "user").alias("n_user"),
-        F.count("*").alias("n_turns"),
+        F.min_by("cwd", F.when(F.col("cwd").isNotNull(), F.col("line_no"))).alias("cwd"),
+        F.min_by("said", F.when(F.col("said").isNotNull() & (F.col("role") == "user"), F.col("line_no"))).alias("title"),
+        F.count_if(F.col("said").isNotNull() & (F.col("role") == "user")).alias("n_user"),
+        F.count_if(F.col("said").isNotNull()).alias("n_turns"),
     )
     every = lines.groupBy("session_id").agg(F.max("ms").alias("last_message_at"), F.count("*").alias("n_lines"))
     return (
-        every.join(heads, "session_id", "left").join(said, "session_id", "left").join(active_duration(lines, "session_id", "ms"), "session_id", "left")
+        every.join(talk, "session_id", "left").join(active_duration(lines, "session_id", "ms"), "session_id", "left")
         .select(
             "session_id",
-            F.substring("first_text", 1, 120).alias("title"),
+            "title",
             F.coalesce(F.date_format(F.timestamp_millis("first_ms"), "yyyy-MM-dd"), F.lit("")).alias("date"),
             F.coalesce(F.element_at(F.split(F.regexp_replace("cwd", "/+$", ""), "/"), -1), F.lit("")).alias("project"),
             F.coalesce("n_user", F.lit(0)).alias("n_user"), F.coalesce("n_turns", F.lit(0)).alias("n_turns"),
@@ -136,3 +143,28 @@ def rendered_lines(messages: DataFrame, markdown: bool) -> DataFrame:
     who = F.initcap("role")
     line = F.concat(F.lit("## "), who, F.lit("\n\n"), F.col("text"), F.lit("\n")) if markdown else F.concat(F.lit("["), who, F.lit("] "), F.col("text"))
     return said.select("session_id", "line_no", line.alias("line"))
+
+
+def session_lines(messages: DataFrame, blocks: DataFrame, markdown: bool, headers: DataFrame | None = None) -> DataFrame:
+    """A session as one document, in lines: ``session_id, line_no, part_no, line``, to be read in the order of the two numbers.
+
+    Beside what ``rendered_lines`` gives come the calls of each turn that survives (``blocks`` of the same lines, outermost ``tool_use`` ones), as ``[Tool]`` lines or quotes,
+    and in Markdown, with ``headers`` (``session_headers``), the head with project, date and title. A turn that only calls tools counts. A session may
+    hold a third of all rows, so it stays a table of lines; blank lines never follow one another.
+    """
+    lines = unique_lines(messages)
+    said = rendered_lines(messages, markdown).withColumn("part_no", F.lit(0).cast("bigint"))
+    talk = conversation_lines(lines).where((F.col("type") == "assistant") & (F.col("role") == "assistant")).select("session_id", "line_no", "line_id")
+    summary = tool_summary(F.col("tool_name"), F.col("body"))
+    calls = blocks.where("depth = 0 AND block_type = 'tool_use' AND tool_name != ''").select("line_id", (F.col("position") + 1).cast("bigint").alias("part_no"), F.concat(F.lit("> **Tool:** " if markdown else "[Tool] "), summary).alias("line"))
+    out = said.unionByName(talk.join(calls, "line_id").select("session_id", "line_no", "line", "part_no"))
+    if headers is not None and markdown:
+        head = F.concat(F.lit("# Session: "), F.col("project"), F.lit(" — "), F.col("date"), F.lit("\n"), F.coalesce(F.concat(F.lit("\n_"), F.col("title"), F.lit("_\n")), F.lit("")))
+        out = out.unionByName(headers.select("session_id", F.lit(-1).alias("line_no"), head.alias("line"), F.lit(0).cast("bigint").alias("part_no")))
+    return out.select("session_id", "line_no", "part_no", "line")
+
+
+def with_summaries(lines: DataFrame, summaries: DataFrame) -> DataFrame:
+    """``session_lines`` with the summary header (``id, header``) before the head of its session, runs of blank lines in it collapsed."""
+    head = summaries.select(F.col("id").alias("session_id"), F.lit(-2).alias("line_no"), F.lit(0).cast("bigint").alias("part_no"), F.regexp_replace("header", "\n{3,}", "\n\n").alias("line"))
+    return lines.unionByName(head.join(lines.select("session_id").distinct(), "session_id", "left_semi"))

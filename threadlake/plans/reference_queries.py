@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadlake.functions.instants import epoch_ms
 from threadlake.functions.text import folded
-from threadlake.operators import activity, browse, evaluation, fusion, lexical, maintenance, measures, transcripts, vectors
+from threadlake.operators import activity, browse, evaluation, fusion, lexical, maintenance, measures, reports, transcripts, vectors
 from threadlake.operators.chunking import chunk_documents
+from threadlake.operators.index import LexicalIndex
 from threadlake.operators.nested import block_table, shred_lines
 from threadlake.plans.gateway import run_select, star_tables
-from threadlake.session import table
+from threadlake.session import new_path, staged, stamp, table
 from threadlake.streaming import activity as stream
 
 QUERIES: dict = {}
@@ -73,6 +74,26 @@ def content_hash(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
 
 
+def _tool_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return block_table(shred_lines(table(spark, d, "raw_lines")))
+
+
+@query
+def session_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Whole sessions in lines for an index: what was said and the calls of tools."""
+    lines = transcripts.session_lines(table(spark, d, "messages"), _tool_blocks(spark, d), markdown=False)
+    return lines.select("session_id", "line_no", "part_no", F.md5("line").alias("line_md5"))
+
+
+@query
+def session_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Whole sessions as Markdown: summary, head, turns, calls as quotes."""
+    messages = table(spark, d, "messages")
+    lines = transcripts.session_lines(messages, _tool_blocks(spark, d), True, transcripts.session_headers(messages))
+    lines = transcripts.with_summaries(lines, reports.summary_header(table(spark, d, "sessions")))
+    return lines.select("session_id", "line_no", "part_no", F.md5("line").alias("line_md5"))
+
+
 @query
 def chunk_sessions(spark: SparkSession, d: str) -> DataFrame:
     """A session's chunks, by the id's first part."""
@@ -100,9 +121,49 @@ def _asked(spark: SparkSession, d: str, text_only: bool = True) -> DataFrame:
     return audit.select(F.col("id").alias("query_id"), "query")
 
 
+_INDEXES: dict[tuple, LexicalIndex] = {}
+
+
+def indexed(spark: SparkSession, d: str, docs: str = "documents", where: str = "true") -> LexicalIndex:
+    """The stored index of a table of documents, keyed by session: built on first use, then opened as long as the table's files stay as they are."""
+    path = f"{d}/{docs}.parquet"
+    name = (spark.sparkContext.applicationId, path, where, stamp(spark, path))
+    if name not in _INDEXES:
+        index = LexicalIndex(spark, new_path(spark, "index", keep=True))
+        index.refresh(table(spark, d, docs).where(where), "session_id", "doc_id", "text")
+        _INDEXES[name] = index
+    return _INDEXES[name]
+
+
 def _best(spark: SparkSession, d: str, **how) -> DataFrame:
     """The ten best documents of each search."""
-    return lexical.bm25_top(table(spark, d, "documents"), _asked(spark, d), "doc_id", "text", 10, **how)
+    return lexical.bm25_top(indexed(spark, d), _asked(spark, d), "doc_id", "text", 10, **how)
+
+
+@query
+def index_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """Documents per term and their counts from an index that was built without the newest sessions, with a stale text for others and with drafts, and then refreshed."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("session_id", F.lit("")).alias("session"), "text", "created_at")
+    cut = docs.select(F.unix_millis("created_at").cast("double").alias("ms")).approxQuantile("ms", [0.6, 0.8], 0.05) or [0.0, 0.0]
+    newest = docs.groupBy("session").agg(F.max(F.unix_millis("created_at")).alias("last"))
+    old, stale = (newest.where(x).select("session") for x in (F.coalesce("last", F.lit(0)) <= cut[0], (F.col("last") > cut[0]) & (F.col("last") <= cut[1])))
+    index = LexicalIndex(spark)
+    drafts = docs.join(old, "session", "left_semi").select((-F.col("doc_id") - 1).alias("doc_id"), F.concat(F.lit("draft "), "session").alias("session"), "text")
+    first = docs.join(old, "session", "left_semi").select("doc_id", "session", "text")
+    before = docs.join(stale, "session", "left_semi").select("doc_id", "session", F.concat(F.lit("stale words "), F.coalesce("text", F.lit(""))).alias("text"))
+    index.refresh(first.unionByName(before).unionByName(drafts), "session", "doc_id", "text")
+    changed = docs.join(old, "session", "left_anti").select("doc_id", "session", "text")
+    index.refresh(changed, "session", "doc_id", "text", removed=drafts.select("session").distinct())
+    return index.postings().groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query
+def search_grammar(spark: SparkSession, d: str) -> DataFrame:
+    """Every search of the set with its words joined by AND, OR or NOT, or with one of them left hanging, by the length of its text."""
+    words = F.split(lexical.sanitize("query"), " ")
+    n = F.length("query") % 4
+    joined = F.when(n == 0, F.array_join(words, " AND ")).when(n == 1, F.array_join(words, " OR ")).when(n == 2, F.array_join(words, " NOT ")).otherwise(F.concat(F.array_join(words, " "), F.lit(" OR")))
+    return lexical.bm25_top(indexed(spark, d), _asked(spark, d).withColumn("query", joined), "doc_id", "text", 10, mode="grammar")
 
 
 @query
@@ -155,10 +216,16 @@ def knn_cosine(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hybrid_queries(spark: SparkSession, d: str) -> DataFrame:
-    """Searches with a vector each: the stored one at id modulo the number of vectors."""
-    emb = table(spark, d, "embeddings")
+    """Searches with a vector each: the stored one at id modulo the number of vectors, vectors numbered in the order of their ids."""
+    emb = table(spark, d, "embeddings").select("vec_id", "embedding")
     n = emb.count()
-    return _asked(spark, d).withColumn("vec_id", F.pmod("query_id", F.lit(n))).join(emb.select("vec_id", "embedding"), "vec_id").drop("vec_id")
+    # Ids may have gaps: they are numbered by ranges, each behind the vectors of the ranges before it.
+    ranged = emb.repartitionByRange("vec_id").sortWithinPartitions("vec_id").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    ranged = staged(ranged, "numbered")
+    parts = ranged.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("lo"))
+    before = parts.select("part", "lo", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))  # a row per range
+    numbered = ranged.join(F.broadcast(before), "part").select((F.col("at") - F.col("lo") + F.col("offset")).alias("place"), "embedding")
+    return _asked(spark, d).withColumn("place", F.pmod("query_id", F.lit(n))).join(numbered, "place").drop("place")
 
 
 def _projects(spark: SparkSession, d: str) -> DataFrame:
@@ -168,22 +235,52 @@ def _projects(spark: SparkSession, d: str) -> DataFrame:
 @query
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     asked = _hybrid_queries(spark, d)
-    lex = lexical.bm25_top(table(spark, d, "documents"), asked, "doc_id", "text", 50, digits=9).withColumnRenamed("rk", "bm25_rk")
+    lex = lexical.bm25_top(indexed(spark, d), asked, "doc_id", "text", 50, digits=9).withColumnRenamed("rk", "bm25_rk")
     vec = vectors.knn(table(spark, d, "embeddings"), asked, 50).select("query_id", F.col("id").alias("doc_id"), F.col("rk").alias("knn_rk"))
     return fusion.fuse(lex, vec).select("query_id", "doc_id", "bm25_rk", "knn_rk", F.round("score", 9).alias("score"))
 
 
 @query
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    found = fusion.hybrid_search(_projects(spark, d), table(spark, d, "embeddings"), _hybrid_queries(spark, d))
+    found = fusion.hybrid_search(_projects(spark, d), table(spark, d, "embeddings"), _hybrid_queries(spark, d), index=indexed(spark, d))
     return found.select("query_id", "project", "doc_id", F.round("score", 9).alias("score"), "place")
 
 
+@query
+def hybrid_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """The best sessions of each search with their fields and the best document's preview."""
+    docs = table(spark, d, "documents").select("doc_id", "session_id", "text")
+    found = fusion.hybrid_search(docs, table(spark, d, "embeddings"), _hybrid_queries(spark, d), group="session_id", index=indexed(spark, d))
+    rows = fusion.with_session(found, docs, table(spark, d, "sessions"))
+    return rows.select("query_id", "session_id", "doc_id", F.round("score", 9).alias("score"), "place", "project", "date", "title", F.md5("preview").alias("preview_md5"))
+
+
+@query
+def query_cache(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of all searches by way of a cache that holds the texts of even length."""
+    asked = table(spark, d, "query_audit").groupBy("id").agg(F.min("query").alias("query")).select(F.col("id").alias("query_id"), "query")
+    empty = spark.createDataFrame([], "query_hash string, embedding array<float>")
+    _, cache = vectors.cached_vectors(asked.where(F.length("query") % 2 == 0), empty, vectors.hashed_embedding)
+    found, _ = vectors.cached_vectors(asked, cache, vectors.hashed_embedding)
+    return found.select("query_id", "hit", F.size("embedding").alias("dims"))
+
+
+@query
+def summary_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of summary chunks: those of sessions up to "8" are stored, the pending ones are embedded and replace what their sessions had."""
+    chunks = table(spark, d, "chunks").where("session_id IS NOT NULL")
+    some = chunks.where("seq = -1 AND text IS NOT NULL").select("id", "text").distinct()
+    stored = vectors.hashed_embedding(some.where("id <= '8'"), "id", "text")
+    new = vectors.embed_pending(chunks, stored, vectors.hashed_embedding)
+    whole = maintenance.replace_rows(stored.withColumn("session_id", transcripts.session_of_chunk("id")), new.withColumn("session_id", transcripts.session_of_chunk("id")), "session_id")
+    return whole.select("id", "session_id", F.size("embedding").alias("dims"))
+
+
 @query
 def hybrid_filtered(spark: SparkSession, d: str) -> DataFrame:
     """Filtered after retrieval: English documents of 2026-01 on."""
     keep = table(spark, d, "documents").where((folded("lang") == "en") & (F.col("created_at") >= "2026-01-15")).select("doc_id")
-    found = fusion.hybrid_search(_projects(spark, d), table(spark, d, "embeddings"), _hybrid_queries(spark, d), keep=keep)
+    found = fusion.hybrid_search(_projects(spark, d), table(spark, d, "embeddings"), _hybrid_queries(spark, d), keep=keep, index=indexed(spark, d))
     return found.select("query_id", "project", "doc_id", F.round("score", 9).alias("score"), "place")
 
 
@@ -236,17 +333,17 @@ def projects_recent(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def heatmap_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return browse.filled_calendar(browse.daily(table(spark, d, "sessions")), "2025-12-29", "2026-03-01")
+    return browse.filled_calendar(browse.daily(table(spark, d, "sessions")))
 
 
 @query
 def heatmap_hours(spark: SparkSession, d: str) -> DataFrame:
-    return browse.filled_calendar(browse.daily(table(spark, d, "sessions"), hours=True), "2025-12-29", "2026-03-01")
+    return browse.filled_calendar(browse.daily(table(spark, d, "sessions"), hours=True))
 
 
 @query
 def heatmap_intensity(spark: SparkSession, d: str) -> DataFrame:
-    return browse.intensity(browse.filled_calendar(browse.daily(table(spark, d, "sessions")), "2025-12-29", "2026-03-01"))
+    return browse.intensity(browse.filled_calendar(browse.daily(table(spark, d, "sessions"))))
 
 
 @query
@@ -259,6 +356,14 @@ def heatmap_by_project(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sessions").where("date != ''").groupBy("date", "project").agg(F.count("*").alias("n"))
 
 
+@query
+def heatmap_project(spark: SparkSession, d: str) -> DataFrame:
+    """The heatmap of one project, the first by name."""
+    s = table(spark, d, "sessions")
+    first = s.where("project != ''").agg(F.min("project").alias("project"))  # one row
+    return browse.filled_calendar(browse.daily(s.join(F.broadcast(first), "project", "left_semi")))
+
+
 @query
 def heatmap_weekly(spark: SparkSession, d: str) -> DataFrame:
     return browse.weekly(table(spark, d, "sessions"))
@@ -273,10 +378,10 @@ def distinct_tags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Two states of the sessions: the stored one lacks every fifth, the fresh one lacks every seventh and has new hashes for every third."""
-    s = table(spark, d, "sessions").withColumn("no", F.conv(F.substring("id", 1, 6), 16, 10).cast("bigint"))
+    """Two states of the sessions, each in one at least: the stored one lacks some that are new, the fresh one some that weren't touched; a third of the fresh ones has new hashes."""
+    s = table(spark, d, "sessions").withColumn("no", F.coalesce(F.conv(F.substring("id", 1, 6), 16, 10).cast("bigint"), F.lit(0)))
     fresh = s.where("no % 7 != 0").select("id", "path", "project", "date", F.concat("title", F.lit(" (again)")).alias("title"), F.when(F.col("no") % 3 == 0, F.reverse("hash")).otherwise(F.col("hash")).alias("hash"), (F.col("indexed_at") + 1).alias("indexed_at"))
-    return s.where("no % 5 != 0").drop("no"), fresh
+    return s.where("no % 7 = 0 OR no % 5 != 0").drop("no"), fresh
 
 
 @query
@@ -340,7 +445,7 @@ def live_over_archive(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def project_cap_sample(spark: SparkSession, d: str) -> DataFrame:
-    """A sampling operator: at most three sessions of a project."""
+    """A sampling operator: a hundred sessions, of a project at most its share and three at least."""
     return maintenance.capped_sample(table(spark, d, "sessions").select("id", "project"), "project", "id")
 
 
@@ -363,7 +468,14 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
 def activity_collapsed(spark: SparkSession, d: str) -> DataFrame:
     runs = _runs(spark, d)
     empty = (F.col("kind") == "index") & ~F.col("running") & (F.col("n_items") == 0)
-    return activity.collapse_empty(runs, empty, [F.col("closed").asc_nulls_last(), F.col("kind").desc(), F.col("start_no")])
+    return activity.collapse_empty(runs, empty, [F.col("closed").asc_nulls_last(), F.col("kind").desc(), F.col("start_no")], block=F.to_date("closed.ts")).select("log", "first_no", "n_runs", "n_items", "collapsed")
+
+
+@query
+def activity_feed(spark: SparkSession, d: str) -> DataFrame:
+    """The collapsed runs with their labels, after stale ones were closed as of the last event."""
+    now = table(spark, d, "events").agg(F.max("ts")).first()[0]
+    return activity.activity_feed(activity.close_stale(_runs(spark, d), F.lit(now)))
 
 
 @query
@@ -383,6 +495,29 @@ def metric_changes(spark: SparkSession, d: str) -> DataFrame:
     return measures.changes(measures.deltas(days, "event_type"), 5.0, "up").select("event_type", "bucket", F.round("delta", 6).alias("delta"))
 
 
+@query
+def finished_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of the enrichment queue without a chunk of text, marked as done."""
+    queue = maintenance.pending_enrichment(table(spark, d, "sessions"))
+    return maintenance.finished_without_chunks(queue, table(spark, d, "chunks"), 1_770_200_000_000).select("id", "enriched_at", "enrichment_version")
+
+
+@query
+def json_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Values out of raw lines by paths with a list index, a chosen element and a default."""
+    raw = table(spark, d, "raw_lines").where("try_parse_json(raw) IS NOT NULL")
+    paths = {"first_type": "message.content.0.type", "result_id": "message.content[type=tool_result].tool_use_id", "role": "message.role"}
+    found = [measures.json_path(F.col("raw"), p, "none" if n == "role" else None).alias(n) for n, p in paths.items()]
+    return raw.select("line_id", *found)
+
+
+@query
+def regex_values(spark: SparkSession, d: str) -> DataFrame:
+    """A number and what follows it, out of every document."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    return docs.select("doc_id", measures.cast_value(measures.regex_value(F.col("text"), r"([0-9]{1,6})\s+([a-z]+)"), "int").alias("n"), measures.regex_value(F.col("text"), r"([0-9]{1,6})\s+([a-z]+)", 2).alias("unit"))
+
+
 @query
 def jsonpath_extract(spark: SparkSession, d: str) -> DataFrame:
     raw = measures.json_path(F.col("props"), "k")
@@ -395,7 +530,7 @@ def jsonpath_extract(spark: SparkSession, d: str) -> DataFrame:
 
 def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Sessions retrieved for each search (best document of a session) and the one it was after."""
-    docs = table(spark, d, "documents").where("session_id IS NOT NULL")
+    docs = indexed(spark, d, where="session_id IS NOT NULL")
     found = lexical.bm25_top(docs, _asked(spark, d), "doc_id", "text", 50, mode="any", compat=False, by="session_id")
     retrieved = found.select("query_id", F.col("session_id").alias("item"), "rk")
     relevant = table(spark, d, "query_audit").where("id % 20 = 0 AND top_session_id IS NOT NULL").select(F.col("id").alias("query_id"), F.col("top_session_id").alias("item")).distinct()
@@ -408,6 +543,14 @@ def eval_found_ndcg(spark: SparkSession, d: str) -> DataFrame:
     return per.select("query_id", "found", F.round("ndcg", 6).alias("ndcg"))
 
 
+@query
+def eval_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """Measures over the searches alone whose session is in the index."""
+    retrieved, relevant = _judged(spark, d)
+    have = table(spark, d, "documents").where("session_id IS NOT NULL").select(F.col("session_id").alias("item"))
+    return evaluation.summary(evaluation.quality(retrieved, evaluation.indexed_only(relevant, have)))
+
+
 @query
 def eval_summary(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.summary(evaluation.quality(*_judged(spark, d)))
@@ -443,7 +586,7 @@ GATEWAY = {
     "sql_join_left": "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
     "sql_join_full": "SELECT c_nationkey, s_nationkey, count(*) AS n FROM (SELECT DISTINCT c_nationkey FROM customer) c FULL JOIN (SELECT s_nationkey FROM supplier) s ON c_nationkey = s_nationkey GROUP BY c_nationkey, s_nationkey",
     "sql_semi": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
-    "sql_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "sql_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 150000)",
     "sql_having": "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey HAVING count(*) > 100",
     "sql_distinct_agg": "SELECT l_shipyear AS y, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS supps FROM (SELECT year(l_shipdate) AS l_shipyear, l_partkey, l_suppkey FROM lineitem) x GROUP BY l_shipyear",
     "sql_rank": "SELECT c_custkey, c_nationkey, rk FROM (SELECT c_custkey, c_nationkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS rk FROM customer) x WHERE rk <= 3",
@@ -451,8 +594,8 @@ GATEWAY = {
     "sql_ntile": "SELECT p_partkey, ntile(4) OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS q FROM part",
     "sql_union": "SELECT c_nationkey AS k FROM customer WHERE c_acctbal < 0 UNION SELECT s_nationkey FROM supplier WHERE s_acctbal < 0",
     "sql_intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
-    "sql_except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier",
-    "sql_scalar_subquery": "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 2 FROM orders)",
+    "sql_except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000",
+    "sql_scalar_subquery": "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)",
     "sql_correlated": "SELECT p_partkey FROM part p WHERE p_retailprice = (SELECT max(p_retailprice) FROM part q WHERE q.p_brand = p.p_brand)",
     "sql_case": "SELECT CASE WHEN p_size < 15 THEN 'small' WHEN p_size < 35 THEN 'medium' ELSE 'large' END AS size_class, count(*) AS n FROM part GROUP BY 1",
     "sql_rollup": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",

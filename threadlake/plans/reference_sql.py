@@ -96,18 +96,18 @@ q AS (SELECT rel.query_id, CASE WHEN coalesce(min(rk), 11) <= 10 THEN 1 ELSE 0 E
 """
 )
 
-_VERSIONS = """WITH s AS (SELECT *, CAST('0x' || substring(id, 1, 6) AS BIGINT) AS no FROM sessions),
+_VERSIONS = """WITH s AS (SELECT *, coalesce(try_cast('0x' || substring(id, 1, 6) AS BIGINT), 0) AS no FROM sessions),
 fresh AS (SELECT id, path, project, date, title || ' (again)' AS title, CASE WHEN no % 3 = 0 THEN reverse(hash) ELSE hash END AS hash, indexed_at + 1 AS indexed_at FROM s WHERE no % 7 <> 0),
-stored AS (SELECT * FROM s WHERE no % 5 <> 0)
+stored AS (SELECT * FROM s WHERE no % 7 = 0 OR no % 5 <> 0)
 """
 _SUMMARY = """concat_ws(chr(10), CASE WHEN summary <> '' THEN summary END, CASE WHEN len(tags) > 0 THEN 'Tags: ' || array_to_string(tags, ', ') END,
 CASE WHEN len(entities) > 0 THEN 'Entities: ' || array_to_string(entities, ', ') END, CASE WHEN len(learnings) > 0 THEN 'Learnings: ' || array_to_string(learnings, ' ') END,
 CASE WHEN len(questions) > 0 THEN 'Questions: ' || array_to_string(questions, ' ') END)"""
 _BACKFILL = "SELECT * FROM sessions WHERE enriched_at IS NOT NULL AND summary <> '' AND id NOT IN (SELECT session_id FROM chunks WHERE seq = -1)"
-_CAL = "SELECT strftime(d, '%Y-%m-%d') AS date FROM (SELECT unnest(generate_series(DATE '2025-12-29', DATE '2026-03-01', INTERVAL 1 DAY)) AS d)"
+_CAL = "SELECT strftime(d, '%Y-%m-%d') AS date FROM (SELECT unnest(generate_series(min(try_cast(date AS DATE)), max(try_cast(date AS DATE)), INTERVAL 1 DAY)) AS d FROM sessions WHERE date <> '')"
 _DAY_N = "SELECT date, CAST(count(*) AS DOUBLE) AS value FROM sessions WHERE date <> '' GROUP BY 1"
 _DAY_H = "SELECT date, round(sum(coalesce(duration_seconds, 0)) / 3600, 1) AS value FROM sessions WHERE date <> '' GROUP BY 1"
-_FIELD = "CASE tool " + " ".join(f"WHEN '{t}' THEN b->'$.input'->>'$.{k}'" for t, k in TOOL_FIELD.items()) + " END"
+_FIELD = "CASE tool " + " ".join(f"WHEN '{t}' THEN CASE WHEN json_type(b->'$.input', '$.{k}') = 'VARCHAR' THEN b->'$.input'->>'$.{k}' END" for t, k in TOOL_FIELD.items()) + " END"
 _LASTS = "SELECT event_type, date_trunc('{0}', ts) AS bucket, arg_max(value, (ts, value)) AS value FROM events GROUP BY 1, 2"
 _RUNS = """WITH e AS (SELECT user_id AS log, event_id AS no, ts, event_type AS t FROM events),
 i AS (SELECT *, sum(CASE WHEN t IN ('view', 'signup') THEN 1 ELSE 0 END) OVER (PARTITION BY log ORDER BY ts, no ROWS UNBOUNDED PRECEDING) AS run FROM e WHERE t IN ('view', 'signup', 'purchase', 'click')),
@@ -120,7 +120,84 @@ g AS (SELECT ig.log, 'index' AS kind, start_no, complete, NOT complete AND coale
   UNION ALL SELECT log, 'enrich', no, false, coalesce(closer, '') <> 'signup', 0, closer_at FROM eb WHERE t = 'error')
 """
 
+_TOOLS = (
+    f""", u AS (SELECT line_id, position, block->>'$.name' AS tool, block AS b FROM blocks WHERE depth = 0 AND block_type = 'tool_use' AND json_type(block, '$.name') = 'VARCHAR' AND block->>'$.name' <> ''),
+f AS (SELECT line_id, position, tool, coalesce({_FIELD}, CAST(b->'$.input' AS VARCHAR), '{{}}') AS raw FROM u),
+calls AS (SELECT session_id, line_no, position + 1 AS part_no, tool || ': `' || CASE WHEN length(raw) > 80 THEN substring(raw, 1, 80) || '…' ELSE raw END || '`' AS summary
+  FROM f JOIN talk USING (line_id) WHERE talk."type" = 'assistant' AND talk.role = 'assistant')
+"""
+)
+
+
+def _after(recursive: str, plain: str) -> str:
+    """CTEs of a recursive text followed by those of a plain one."""
+    return recursive.rstrip() + ",\n" + plain.removeprefix("WITH ")
+
+
+_GRAMMAR = (
+    "WITH " + _bm25(True, True)
+    + f""", g0 AS (SELECT query_id, length(query) % 4 AS how, {_CLEAN} AS q FROM asked),
+g1 AS (SELECT query_id, how, string_split(q, ' ') AS ws FROM g0 WHERE q <> '' AND how < 3 AND NOT regexp_matches(q, '[''-]')),
+g2 AS (SELECT query_id, how, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM g1),
+g3 AS (SELECT query_id, how, how < 2 OR i = 1 AS wanted, translate(lower(w), '{ACCENTED}', '{PLAIN}') AS term FROM g2),
+g4 AS (SELECT query_id, how, wanted, term, count(*) AS qtf FROM g3 GROUP BY ALL),
+g5 AS (SELECT *, count(*) FILTER (wanted) OVER (PARTITION BY query_id) AS n_wanted FROM g4),
+ghit AS (SELECT g5.query_id, how, n_wanted, post.doc_id, wanted, qtf * (CASE WHEN ln((n_docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - df + 0.5) / (df + 0.5)) END)
+  * tf * {K1 + 1} / (tf + {K1} * (1 - {B} + {B} * dl / avgdl)) AS s FROM g5 JOIN post USING (term) JOIN df USING (term) CROSS JOIN st),
+gfound AS (SELECT query_id, doc_id, -sum(s) FILTER (wanted) AS rank FROM ghit GROUP BY query_id, doc_id, how, n_wanted HAVING count(*) FILTER (NOT wanted) = 0 AND (how = 1 OR count(*) = n_wanted))
+"""
+)
+_FEED = (
+    _RUNS
+    + """, top AS (SELECT max(ts) AS now FROM events),
+s0 AS (SELECT g.log, g.kind, g.start_no, g.n_items, g.closed, g.running AND NOT CASE g.kind WHEN 'enrich' THEN epoch_ms(now) - epoch_ms(e.ts) > 30000 ELSE epoch_ms(now) - epoch_ms(e.ts) > 600000 END AS running
+  FROM g JOIN e ON e.no = g.start_no, top),
+m AS (SELECT *, kind = 'index' AND NOT running AND n_items = 0 AS idle, row_number() OVER (PARTITION BY log ORDER BY closed ASC NULLS LAST, kind DESC, start_no) AS no FROM s0),
+x AS (SELECT *, CASE WHEN idle THEN no - row_number() OVER (PARTITION BY log, idle ORDER BY no) ELSE -no END AS island FROM m),
+o AS (SELECT log, min(no) AS no, arg_min(kind, no) AS kind, arg_min(running, no) AS running, count(*) AS n_runs, CAST(sum(n_items) AS BIGINT) AS n_items FROM x GROUP BY log, idle, island),
+m2 AS (SELECT *, kind = 'enrich' AND NOT running AND n_items = 0 AS idle, row_number() OVER (PARTITION BY log ORDER BY no) AS place FROM o),
+x2 AS (SELECT *, CASE WHEN idle THEN place - row_number() OVER (PARTITION BY log, idle ORDER BY place) ELSE -place END AS island FROM m2),
+f AS (SELECT log, min(no) AS no, arg_min(kind, no) AS kind, arg_min(running, no) AS running, CAST(sum(n_runs) AS BIGINT) AS n_runs, CAST(sum(n_items) AS BIGINT) AS n_items FROM x2 GROUP BY log, idle, island)
+SELECT log, no, kind, n_runs, n_items, running, CASE kind WHEN 'index' THEN CASE WHEN running THEN 'Indexing…' ELSE 'Index scan' END ELSE CASE WHEN running THEN 'Enriching…' ELSE 'Enrich run' END END AS label,
+CASE WHEN n_runs > 1 THEN n_runs || CASE kind WHEN 'index' THEN '× no new sessions' ELSE '× nothing to enrich' END
+ WHEN running THEN CASE kind WHEN 'index' THEN CASE WHEN n_items > 0 THEN n_items || ' indexed' END ELSE n_items || ' / ?' END
+ ELSE n_items || CASE kind WHEN 'index' THEN ' new' ELSE '' END || ' session' || CASE WHEN n_items = 1 THEN '' ELSE 's' END || CASE kind WHEN 'index' THEN '' ELSE ' enriched' END END AS detail FROM f"""
+)
+
 SQL = {
+    "index_refresh": "WITH " + _bm25(True, True) + "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY 1",
+    "search_grammar": _GRAMMAR + _TEN.format("gfound"),
+    "session_documents": _after(_BLOCKS, _LINES) + _TOOLS
+    + """SELECT session_id, line_no, 0 AS part_no, md5('[' || upper(role[1]) || role[2:] || '] ' || txt) AS line_md5 FROM t UNION ALL SELECT session_id, line_no, part_no, md5('[Tool] ' || summary) FROM calls""",
+    "session_pages": _after(_BLOCKS, _HEADS) + _TOOLS
+    + """, pages AS (SELECT session_id, line_no, 0 AS part_no, '## ' || upper(role[1]) || role[2:] || chr(10) || chr(10) || txt || chr(10) AS line FROM t
+UNION ALL SELECT session_id, line_no, part_no, '> **Tool:** ' || summary FROM calls
+UNION ALL SELECT session_id, -1, 0, '# Session: ' || project || ' — ' || date || chr(10) || coalesce(chr(10) || '_' || title || '_' || chr(10), '') FROM h)
+SELECT session_id, line_no, part_no, md5(line) AS line_md5 FROM pages
+UNION ALL SELECT id, -2, 0, md5(regexp_replace('## Summary' || chr(10) || chr(10) || summary || chr(10) || chr(10) || ls || CASE WHEN ls <> '' THEN chr(10) ELSE '' END || '---' || chr(10), '\\n{3,}', chr(10) || chr(10), 'g'))
+FROM (SELECT id, summary, CASE WHEN len(tags) > 0 THEN '**Tags:** ' || array_to_string(tags, ', ') || chr(10) ELSE '' END
+ || CASE WHEN len(entities) > 0 THEN '**Entities:** ' || array_to_string(entities, ', ') || chr(10) ELSE '' END AS ls FROM sessions WHERE summary <> '') WHERE id IN (SELECT session_id FROM pages)""",
+    "hybrid_sessions": _FUSED
+    + """, placed AS (SELECT f.*, d.session_id FROM fused f JOIN documents d USING (doc_id) WHERE d.session_id IS NOT NULL),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, session_id ORDER BY score DESC, coalesce(bm25_rk, 1 << 30), coalesce(knn_rk, 1 << 30), doc_id) AS b FROM placed) WHERE b = 1),
+ten AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS place FROM best) WHERE place <= 10)
+SELECT query_id, session_id, doc_id, round(score, 9) AS score, place, s.project, s.date, s.title, md5(CASE WHEN length(text) > 300 THEN substring(text, 1, 300) || '…' ELSE coalesce(text, '') END) AS preview_md5
+FROM ten JOIN sessions s ON s.id = session_id JOIN (SELECT doc_id, text FROM documents) d USING (doc_id)""",
+    "query_cache": "SELECT id AS query_id, length(query) % 2 = 0 AS hit, 64 AS dims FROM (SELECT id, min(query) AS query FROM query_audit GROUP BY id) WHERE query IS NOT NULL",
+    "summary_vectors": "SELECT DISTINCT id, regexp_replace(id, '_[^_]*$', '') AS session_id, 64 AS dims FROM chunks WHERE seq = -1 AND text IS NOT NULL AND session_id IS NOT NULL",
+    "heatmap_project": """WITH s AS (SELECT * FROM sessions WHERE date <> '' AND project = (SELECT min(project) FROM sessions WHERE project <> '')),
+c AS (SELECT strftime(d, '%Y-%m-%d') AS date FROM (SELECT unnest(generate_series(min(try_cast(date AS DATE)), max(try_cast(date AS DATE)), INTERVAL 1 DAY)) AS d FROM s))
+SELECT date, coalesce(value, 0) AS value FROM c LEFT JOIN (SELECT date, CAST(count(*) AS DOUBLE) AS value FROM s GROUP BY 1) USING (date)""",
+    "eval_indexed": _JUDGED
+    + "SELECT count(*) AS queries, round(avg(found), 4) AS found_at_k, round(avg(ndcg), 4) AS ndcg_at_k FROM q WHERE query_id IN (SELECT query_id FROM rel WHERE item IN (SELECT session_id FROM documents WHERE session_id IS NOT NULL))",
+    "finished_sessions": """SELECT id, 1770200000000 AS enriched_at, 3 AS enrichment_version FROM sessions WHERE (enriched_at IS NULL OR coalesce(enrichment_version < 3, true))
+AND NOT EXISTS (SELECT 1 FROM chunks WHERE seq >= 0 AND session_id = sessions.id)""",
+    "json_paths": """WITH j AS (SELECT line_id, CAST(raw AS JSON) AS j FROM raw_lines WHERE json_valid(raw)), c AS (SELECT line_id, j, CASE WHEN json_type(j, '$.message.content') = 'ARRAY' THEN j->'$.message.content' END AS c FROM j)
+SELECT line_id, c->>'$[0].type' AS first_type, (list_filter(from_json(c, '["JSON"]'), lambda x: json_type(x) = 'OBJECT' AND x->>'$.type' = 'tool_result')[1])->>'$.tool_use_id' AS result_id,
+coalesce(CASE WHEN json_type(j, '$.message') = 'OBJECT' THEN j->>'$.message.role' END, 'none') AS role FROM c""",
+    "regex_values": r"""SELECT doc_id, try_cast(CASE WHEN regexp_matches(text, '(?s)([0-9]{1,6})\s+([a-z]+)') THEN regexp_extract(text, '(?s)([0-9]{1,6})\s+([a-z]+)', 1) END AS BIGINT) AS n,
+CASE WHEN regexp_matches(text, '(?s)([0-9]{1,6})\s+([a-z]+)') THEN regexp_extract(text, '(?s)([0-9]{1,6})\s+([a-z]+)', 2) END AS unit FROM documents WHERE text IS NOT NULL""",
+    "activity_feed": _FEED,
     "turn_filter": _LINES + "SELECT session_id, line_no, role, md5(txt) AS text_md5 FROM t",
     "session_headers": _HEADS + "SELECT * FROM h",
     "indexable_sessions": _HEADS + "SELECT session_id, n_user FROM h WHERE n_user >= 2",
@@ -181,7 +258,8 @@ SELECT l.doc_id, CAST(coalesce(kept, 0) AS INTEGER) AS kept, coalesce(cut, false
 md5(array_to_string(list_concat(ls[1:coalesce(kept, 0)], CASE WHEN cut THEN ['... (truncated)'] ELSE [] END), chr(10))) AS digest_md5 FROM l LEFT JOIN b USING (doc_id)""",
     "dedupe_last_wins": "SELECT session_id, line_no, line_id, type FROM (SELECT *, row_number() OVER (PARTITION BY session_id, line_no ORDER BY line_id DESC) AS n FROM messages) WHERE n = 1",
     "live_over_archive": _VERSIONS + "SELECT id, title FROM fresh UNION ALL SELECT id, title FROM stored WHERE id NOT IN (SELECT id FROM fresh)",
-    "project_cap_sample": "SELECT id, project FROM (SELECT id, project, row_number() OVER (PARTITION BY project ORDER BY md5(id || '|1')) AS n FROM sessions) WHERE n <= 3",
+    "project_cap_sample": """SELECT id, project FROM (SELECT id, project, row_number() OVER (PARTITION BY project ORDER BY md5(id || '|1'), id) AS n FROM sessions)
+WHERE n <= greatest(3, 100 // (SELECT count(*) FROM (SELECT DISTINCT project FROM sessions))) ORDER BY md5(id || '|1'), id LIMIT 100""",
     "activity_groups": _RUNS + "SELECT log, kind, start_no, complete, running, n_items FROM g",
     "activity_collapsed": _RUNS
     + """, m AS (SELECT *, kind = 'index' AND NOT running AND n_items = 0 AS empty, row_number() OVER (PARTITION BY log ORDER BY closed ASC NULLS LAST, kind DESC, start_no) AS no FROM g),

@@ -13,7 +13,18 @@ def transcript_files(spark: SparkSession, root: str) -> DataFrame:
 
     A session's id is the first eight characters of its file's name without dashes. Files are read whole, as their hash is that of the file.
     """
-    files = spark.read.text([f"{root}/*.jsonl", f"{root}/*/*.jsonl"], wholetext=True)
+    return _files(spark, [f"{root}/*.jsonl", f"{root}/*/*.jsonl"])
+
+
+def transcript_file(spark: SparkSession, path: str) -> DataFrame:
+    """The same of one file, whose name must end in ``.jsonl``."""
+    if not path.endswith(".jsonl"):
+        raise ValueError("a transcript's name ends in .jsonl")
+    return _files(spark, [path])
+
+
+def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    files = spark.read.text(paths, wholetext=True)
     name = F.element_at(F.split("_metadata.file_path", "/"), -1)
     return files.select(
         F.col("_metadata.file_path").alias("path"), F.substring(F.regexp_replace(name, "-", ""), 1, 8).alias("session_id"),
@@ -42,6 +53,14 @@ def activity_log(spark: SparkSession, path: str, n: int = 100) -> DataFrame:
     return rows.where("type IS NOT NULL").drop("_bad").orderBy(F.col("ts").desc()).limit(n)
 
 
+def log_tail(spark: SparkSession, path: str, n: int = 100) -> DataFrame:
+    """The last ``n`` non-empty lines of a text log, oldest first: ``line``. Rotated files (a folder or pattern) follow one another by name."""
+    at = ("_metadata.file_path", "_metadata.file_block_start")
+    lines = spark.read.text(path).where("value != ''").select(F.col(at[0]).alias("f"), F.col(at[1]).alias("b"), F.monotonically_increasing_id().alias("no"), "value")
+    last = lines.orderBy(F.col("f").desc(), F.col("b").desc(), F.col("no").desc()).limit(n)
+    return last.orderBy("f", "b", "no").select(F.col("value").alias("line"))
+
+
 def append_activity(events: DataFrame, path: str) -> None:
     """Append events to a log as JSON lines."""
     events.write.mode("append").json(path)
