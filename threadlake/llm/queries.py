@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadlake.functions.instants import epoch_ms
@@ -193,10 +193,20 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_documents(table(spark, sf_dir, "documents"))
 
 
+def p9_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cut text put together again from its pieces, and whether each piece keeps the limit and shares the overlap with the one before."""
+    pieces = splitting.split_documents(table(spark, sf_dir, "documents")).withColumn("before", F.lag("end_char").over(Window.partitionBy("doc_id").orderBy("piece_no")))
+    new = F.substr("piece", F.coalesce(F.col("before") - F.col("start_char"), F.lit(0)).cast("int") + 1)  # what the piece before didn't hold
+    shared = F.octet_length("piece") - F.octet_length(new)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", new.alias("t")))), lambda x: x["t"]), "")  # pieces of one text
+    rows = pieces.groupBy("doc_id").agg(whole.alias("text"), F.max("size").alias("largest"), F.bool_and(F.col("before").isNull() | shared.between(128, 131)).alias("shared"))
+    return rows.select("doc_id", F.md5("text").alias("text_md5"), (F.col("largest") <= 2048).alias("within"), "shared")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_conversations, p3_found, p3_redacted, p4_found, p4_pairs, p4_affected, p5_found, p5_percentiles, p5_weekly, p5_day_bounds, p5_week_bounds, p7_found, p7_containers, p7_totals, p7_limits,
-        p8_found, p8_shares, p8_deviation, p8_filled_shares, p8_selection, p9_found, p9_pieces,
+        p8_found, p8_shares, p8_deviation, p8_filled_shares, p8_selection, p9_found, p9_pieces, p9_rebuilt,
     )
 }

@@ -60,6 +60,7 @@ m AS (SELECT *, least(total, min(CASE WHEN share > 0 THEN s * max_repeats / shar
 SELECT mix_name, source, target_pct, CAST(s AS BIGINT) AS tokens, CAST(floor(share * held) AS BIGINT) AS aim, true AS near, true AS repeats_kept FROM m""",
     "p8_found": _MIXES
     + """SELECT mix_name, source FROM j WHERE s * max_repeats * 100 < target_pct * total""",
+    "p9_rebuilt": "SELECT doc_id, md5(text) AS text_md5, true AS within, true AS shared FROM documents WHERE strlen(text) > 2048",
     "p9_found": r"""WITH d AS (SELECT doc_id, regexp_extract_all(text, '[ \t\r\n\x{3000}。！？]+|[^ \t\r\n\x{3000}。！？]+') AS ps FROM documents WHERE strlen(text) > 2048),
 p AS (SELECT doc_id, unnest(ps) AS x, generate_subscripts(ps, 1) AS i FROM d),
 c AS (SELECT doc_id, x, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) - length(x) AS pos FROM p)
