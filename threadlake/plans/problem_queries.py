@@ -41,13 +41,19 @@ def p6_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_table(shred_lines(table(spark, sf_dir, "raw_lines")))
 
 
+def p6_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of text and thinking blocks, at any depth."""
+    blocks = block_table(shred_lines(table(spark, sf_dir, "raw_lines"))).where("block_type IN ('text', 'thinking')")
+    return blocks.select("line_id", "block_path", "depth", "position", F.md5("body").alias("body_md5"))
+
+
 def p6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines table."""
     return line_table(shred_lines(table(spark, sf_dir, "raw_lines"))).drop("n_blocks")
 
 
 QUERIES = {
-    f.__name__: f for f in (p2_found, p2_activity_sessions, p2_session_totals, p6_found, p6_blocks, p6_lines)
+    f.__name__: f for f in (p2_found, p2_activity_sessions, p2_session_totals, p6_found, p6_blocks, p6_bodies, p6_lines)
 }
 
 _ISO = "^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?"
@@ -90,6 +96,9 @@ SQL = {
     "p2_session_totals": _runs("session_id", _LINES)
     + "SELECT session_id, count(*) AS n_runs, CAST(sum(duration_ms) AS BIGINT) AS active_ms, CAST(sum(n_events) AS BIGINT) AS n_lines FROM runs GROUP BY session_id",
     "p6_found": _BLOCKS + f"SELECT line_id, block_path, parent_path, block_type, {_REF} AS tool_ref FROM blocks",
+    "p6_bodies": _BLOCKS
+    + """SELECT line_id, block_path, depth, position, md5(CASE json_type(block) WHEN 'VARCHAR' THEN block->>'$' ELSE CASE WHEN json_type(block, '$.' || block_type) = 'VARCHAR'
+THEN CASE block_type WHEN 'text' THEN block->>'$.text' ELSE block->>'$.thinking' END END END) AS body_md5 FROM blocks WHERE block_type IN ('text', 'thinking')""",
     "p6_lines": """WITH j AS (SELECT line_id, coalesce(json_valid(raw), false) AND json_type(CASE WHEN json_valid(raw) THEN raw END) = 'OBJECT' AS readable, raw FROM raw_lines),
 o AS (SELECT line_id, coalesce(readable, false) AS readable, CASE WHEN readable THEN CAST(raw AS JSON) END AS o FROM j),
 m AS (SELECT *, CASE json_type(o, '$.message') WHEN 'OBJECT' THEN o->'$.message' WHEN 'VARCHAR' THEN CASE WHEN json_valid(o->>'$.message') THEN CAST(o->>'$.message' AS JSON) END END AS m FROM o)

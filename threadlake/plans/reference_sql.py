@@ -195,6 +195,10 @@ AND NOT EXISTS (SELECT 1 FROM chunks WHERE seq >= 0 AND session_id = sessions.id
     "json_paths": """WITH j AS (SELECT line_id, CAST(raw AS JSON) AS j FROM raw_lines WHERE json_valid(raw)), c AS (SELECT line_id, j, CASE WHEN json_type(j, '$.message.content') = 'ARRAY' THEN j->'$.message.content' END AS c FROM j)
 SELECT line_id, c->>'$[0].type' AS first_type, (list_filter(from_json(c, '["JSON"]'), lambda x: json_type(x) = 'OBJECT' AND x->>'$.type' = 'tool_result')[1])->>'$.tool_use_id' AS result_id,
 coalesce(CASE WHEN json_type(j, '$.message') = 'OBJECT' THEN j->>'$.message.role' END, 'none') AS role FROM c""",
+    "reply_parse": r"""WITH c AS (SELECT doc_id, trim(regexp_replace(text, '<think>[\s\S]*?</think>', '', 'g')) AS clean FROM documents WHERE text IS NOT NULL),
+s AS (SELECT *, regexp_extract(clean, '(\{[\s\S]*\})', 1) AS span FROM c), v AS (SELECT *, CASE WHEN json_valid(span) THEN CAST(span AS JSON) END AS v FROM s)
+SELECT doc_id, coalesce(v->>'$.title', '') AS title, md5(CASE WHEN span = '' THEN substring(clean, 1, 500) ELSE coalesce(v->>'$.summary', '') END) AS summary_md5,
+CAST(CASE WHEN json_type(v, '$.tags') = 'ARRAY' THEN len(list_filter(CAST(v->'$.tags' AS JSON[]), lambda x: json_type(x) <> 'NULL')) ELSE 0 END AS INTEGER) AS n_tags FROM v""",
     "regex_values": r"""SELECT doc_id, try_cast(CASE WHEN regexp_matches(text, '(?s)([0-9]{1,6})\s+([a-z]+)') THEN regexp_extract(text, '(?s)([0-9]{1,6})\s+([a-z]+)', 1) END AS BIGINT) AS n,
 CASE WHEN regexp_matches(text, '(?s)([0-9]{1,6})\s+([a-z]+)') THEN regexp_extract(text, '(?s)([0-9]{1,6})\s+([a-z]+)', 2) END AS unit FROM documents WHERE text IS NOT NULL""",
     "activity_feed": _FEED,
