@@ -7,6 +7,7 @@ import re
 
 import pytest
 
+from threadlake.llm import splitting
 from threadlake.llm.splitting import HARD, boundaries, split_documents, split_spans, unbroken_stretches
 
 SCHEMA = "doc_id bigint, text string, piece string, size int"
@@ -61,3 +62,16 @@ def test_documents(spark):
     assert split_documents(df.limit(0)).count() == 0
     with pytest.raises(ValueError, match="overlap"):
         split_documents(df, limit=100, overlap=60)
+
+
+def test_segments_give_the_same_pieces(monkeypatch):
+    """Boundaries and stretches don't depend on where a segment ends, also in the middle of white space or of a character."""
+    rng = random.Random(7)
+    parts = ["a", "bb ", "\n", "\n\n", "# h\n", " ", "é", "。", "　", "word, ", "end. ", "x" * 70, "\r\n", " " * 30]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40, 150))).encode() for _ in range(200)]
+    texts = [t for t in texts if len(t) > 64]
+    whole = [splitting._pieces(1, t, 64, 8, True) for t in texts]
+    monkeypatch.setattr(splitting, "SEGMENT", 50)
+    monkeypatch.setattr(splitting, "_STEP", 5)
+    assert [splitting._pieces(1, t, 64, 8, True) for t in texts] == whole
+    assert len(splitting._pieces(1, b"x" * 100_000, 64, 8, False)) > 1000

@@ -1,12 +1,13 @@
 """Cutting long texts into overlapping pieces at natural boundaries.
 
-Every byte position of a text gets a boundary strength. A sparse table over (strength, position) answers "strongest
+Every byte position of a text gets a boundary strength, segment by segment. A sparse table over (strength, position) answers "strongest
 cut in this window, the rightmost of equals" in two look-ups. From each piece the next one starts ``overlap`` tokens
 before the cut. Sizes are tokens of a byte-level vocabulary, one per UTF-8 byte. Rows are independent: no shuffle.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,11 @@ def _after(b: np.ndarray, mark: bytes) -> np.ndarray:
     return out
 
 
-def boundaries(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(strength of a cut before each byte, flags of the bytes that belong to break characters)."""
+def boundaries(data: bytes, feeds_before: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(strength of a cut before each byte, flags of the bytes that belong to break characters).
+
+    ``feeds_before``: line feeds in the white space right before ``data``, if it is a part of a text.
+    """
     b = np.frombuffer(data, np.uint8)
     n = len(b)
     blank = (b == 32) | (b == 9)
@@ -71,11 +75,11 @@ def boundaries(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     line[1:] = lf[:-1]
     strength[line] = LINE
     # A paragraph ends where only blanks stand between two line feeds.
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     solid = np.maximum.accumulate(np.where(~(blank | cr | lf), at, -1))
-    feeds = np.cumsum(lf)
+    feeds = np.cumsum(lf, dtype=np.int32)
     empty = np.zeros(n, bool)
-    base = np.where(solid >= 0, feeds[solid], 0)
+    base = np.where(solid >= 0, feeds[solid], -feeds_before)
     empty[1:] = lf[:-1] & ((feeds - base)[:-1] >= 2)
     strength[empty] = PARAGRAPH
     strength[line & (b == 35)] = HEADING
@@ -85,18 +89,42 @@ def boundaries(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return strength, broken
 
 
+#: White space in UTF-8 that ends a paragraph's last line, and what ends an unbroken stretch.
+_SPACES = b" \t\r\n"
+_BREAK = re.compile(rb"[ \t\r\n]|" + b"|".join([WIDE_BLANK, *WIDE_MARKS]))
+_STEP = 1 << 12
+
+
+def _feeds_before(data: bytes, at: int) -> int:
+    """Line feeds in the white space that ends at ``at``."""
+    lo = at
+    while lo > 0:
+        part = data[max(0, lo - _STEP) : lo]
+        left = len(part.rstrip(_SPACES))
+        lo -= len(part) - left
+        if left:
+            break
+    return data.count(b"\n", lo, at)
+
+
 class CutIndex:
-    """Sparse table for range maxima over boundary strengths of ``data``, built segment by segment."""
+    """Sparse table for range maxima over boundary strengths of ``data``, built segment by segment: only a segment is ever held."""
+
+    SHIFT = 24
 
-    def __init__(self, strength: np.ndarray, window: int):
-        self.strength, self.window = strength, window
+    def __init__(self, data: bytes, window: int):
+        self.data, self.window = data, window
         self.base = self.stop = -1
+        if SEGMENT + window >= 1 << self.SHIFT:
+            raise ValueError("the window is too large")
 
     def _build(self, lo: int) -> None:
-        self.base, self.stop = lo, min(len(self.strength), lo + SEGMENT + self.window)
-        part = self.strength[self.base : self.stop].astype(np.int64)
+        self.base, self.stop = lo, min(len(self.data), lo + SEGMENT + self.window)
+        edge = max(0, lo - 3)  # a strength depends on the three bytes before, and on the white space before those
+        strength, _ = boundaries(self.data[edge : self.stop], _feeds_before(self.data, edge))
+        part = strength[lo - edge :].astype(np.int32)
         # Position in the low digits: of equal strengths the rightmost is largest.
-        rows = [(part + 1) * (1 << 40) + np.arange(len(part))]
+        rows = [((part + 1) << self.SHIFT) + np.arange(len(part), dtype=np.int32)]
         step = 1
         while 2 * step <= min(self.window, len(part)):
             low = rows[-1]
@@ -111,14 +139,13 @@ class CutIndex:
         a, z = lo - self.base, hi - self.base
         k = (z - a + 1).bit_length() - 1
         best = int(max(self.rows[k][a], self.rows[k][z - (1 << k) + 1]))
-        return self.base + (best & ((1 << 40) - 1)), (best >> 40) - 1
+        return self.base + (best & ((1 << self.SHIFT) - 1)), (best >> self.SHIFT) - 1
 
 
-def split_spans(data: bytes, limit: int, overlap: int) -> tuple[list[tuple[int, int, int]], np.ndarray]:
-    """((start, end, strength of the cut at the end) of each piece in bytes, flags of break characters)."""
-    strength, broken = boundaries(data)
+def split_spans(data: bytes, limit: int, overlap: int) -> tuple[list[tuple[int, int, int]], CutIndex]:
+    """((start, end, strength of the cut at the end) of each piece in bytes, the index they were found with)."""
     n, out, start = len(data), [], 0
-    index = CutIndex(strength, limit)
+    index = CutIndex(data, limit)
     while n - start > limit:
         cut, power = index.strongest(start + max(limit // 2, overlap + 1), start + limit)
         if power <= HARD:  # nothing natural in the upper half: look in the lower one
@@ -127,10 +154,39 @@ def split_spans(data: bytes, limit: int, overlap: int) -> tuple[list[tuple[int,
                 cut, power = low
         out.append((start, cut, power))
         start = cut - overlap
-        while strength[start] == INSIDE:
+        while data[start] & 0xC0 == 0x80:
             start -= 1
     out.append((start, n, HEADING))
-    return out, broken
+    return out, index
+
+
+def _stretch(data: bytes, at: int) -> tuple[int, int]:
+    """(start, end) of the stretch without a break around ``at``."""
+    after = _BREAK.search(data, at)
+    hi = at
+    while hi > 0:
+        lo = max(0, hi - _STEP)
+        last = None
+        for last in _BREAK.finditer(data, lo, min(at, hi + 2)):  # a break may lie across two steps
+            pass
+        if last:
+            return last.end(), after.start() if after else len(data)
+        hi = lo
+    return 0, after.start() if after else len(data)
+
+
+class _Chars:
+    """Code points before a byte position, counted from the position asked last."""
+
+    def __init__(self, data: bytes):
+        self.bytes, self.at, self.n = np.frombuffer(data, np.uint8), 0, 0
+
+    def before(self, at: int) -> int:
+        lo, hi, sign = (self.at, at, 1) if at >= self.at else (at, self.at, -1)
+        for a in range(lo, hi, SEGMENT):
+            self.n += sign * int(np.count_nonzero((self.bytes[a : min(hi, a + SEGMENT)] & 0xC0) != 0x80))
+        self.at = at
+        return self.n
 
 
 PIECE = struct(
@@ -139,20 +195,19 @@ PIECE = struct(
 
 
 def _pieces(doc_id: int, data: bytes, limit: int, overlap: int, with_text: bool) -> list[tuple]:
-    spans, broken = split_spans(data, limit, overlap)
-    b = np.frombuffer(data, np.uint8)
-    chars = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])
-    stops = np.flatnonzero(broken)
-    rows = []
+    spans, _ = split_spans(data, limit, overlap)
+    chars = _Chars(data)
+    rows, around, first = [], (0, -1), 0
     for no, (lo, hi, power) in enumerate(spans):
+        start = chars.before(lo)
         stretch = (None, None)
         if power <= HARD:
-            at = int(np.searchsorted(stops, hi))
-            left = int(stops[at - 1]) + 1 if at else 0
-            right = int(stops[at]) if at < len(stops) else len(data)
-            stretch = (int(chars[left]), right - left)
+            if not around[0] < hi <= around[1]:  # a long stretch holds many cuts
+                around = _stretch(data, hi)
+                first = chars.before(around[0])
+            stretch = (first, around[1] - around[0])
         text = data[lo:hi].decode() if with_text else None
-        rows.append((doc_id, no, len(spans), int(chars[lo]), int(chars[hi]), hi - lo, None if no == len(spans) - 1 else int(power), *stretch, text))
+        rows.append((doc_id, no, len(spans), start, chars.before(hi), hi - lo, None if no == len(spans) - 1 else int(power), *stretch, text))
     return rows
 
 
