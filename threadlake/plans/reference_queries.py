@@ -225,7 +225,7 @@ def _hybrid_queries(spark: SparkSession, d: str) -> DataFrame:
     parts = ranged.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("lo"))
     before = parts.select("part", "lo", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))  # a row per range
     numbered = ranged.join(F.broadcast(before), "part").select((F.col("at") - F.col("lo") + F.col("offset")).alias("place"), "embedding")
-    return _asked(spark, d).withColumn("place", F.pmod("query_id", F.lit(n))).join(numbered, "place").drop("place")
+    return staged(_asked(spark, d).withColumn("place", F.pmod("query_id", F.lit(n))).join(numbered, "place").drop("place"), "asked")  # read by both sides
 
 
 def _projects(spark: SparkSession, d: str) -> DataFrame:
