@@ -28,16 +28,18 @@ DEMO_KEY = b"threadlake demonstration key"
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "known_names")
-    messages = pii.find_pii(table(spark, sf_dir, "messages"), "line_id", "content_text", names)
-    chunks = pii.find_pii(table(spark, sf_dir, "chunks"), "id", "text", names).distinct()  # some rows repeat exactly
+    ordinary = pii.ordinary_words(table(spark, sf_dir, "messages"), "content_text")
+    messages = pii.find_pii(table(spark, sf_dir, "messages"), "line_id", "content_text", names, ordinary=ordinary)
+    chunks = pii.find_pii(table(spark, sf_dir, "chunks"), "id", "text", names, ordinary=ordinary).distinct()  # some rows repeat exactly
     return messages.withColumn("source_table", F.lit("messages")).unionByName(chunks.withColumn("source_table", F.lit("chunks"))).select("source_table", "row_key", "kind", "value").where("kind != 'birth_date'")
 
 
 def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both tables' texts with placeholders."""
     names = table(spark, sf_dir, "known_names")
-    messages = pii.redact(table(spark, sf_dir, "messages"), "line_id", "content_text", names, DEMO_KEY)
-    chunks = pii.redact(table(spark, sf_dir, "chunks"), "id", "text", names, DEMO_KEY)
+    ordinary = pii.ordinary_words(table(spark, sf_dir, "messages"), "content_text")
+    messages = pii.redact(table(spark, sf_dir, "messages"), "line_id", "content_text", names, DEMO_KEY, ordinary=ordinary)
+    chunks = pii.redact(table(spark, sf_dir, "chunks"), "id", "text", names, DEMO_KEY, ordinary=ordinary)
     return messages.withColumn("source_table", F.lit("messages")).unionByName(chunks.withColumn("source_table", F.lit("chunks")))
 
 
