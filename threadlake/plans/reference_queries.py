@@ -129,7 +129,7 @@ def indexed(spark: SparkSession, d: str, docs: str = "documents", where: str = "
     path = f"{d}/{docs}.parquet"
     name = (spark.sparkContext.applicationId, path, where, stamp(spark, path))
     if name not in _INDEXES:
-        index = LexicalIndex(spark, new_path(spark, "index", keep=True))
+        index = LexicalIndex(spark, new_path(spark, "index", lasting=True))
         index.refresh(table(spark, d, docs).where(where), "session_id", "doc_id", "text")
         _INDEXES[name] = index
     return _INDEXES[name]

@@ -53,6 +53,7 @@ class Staging:
     """
 
     open: ClassVar[list[Staging]] = []
+    program: ClassVar[Staging | None] = None
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
@@ -72,23 +73,24 @@ class Staging:
             folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     @classmethod
-    def owner(cls, spark: SparkSession) -> Staging:
+    def owner(cls, spark: SparkSession, lasting: bool = False) -> Staging:
         """The innermost open owner, or the one of the whole program."""
-        if not cls.open:
-            cls.open.append(cls(spark))
-            atexit.register(cls.open[0]._at_end)
-        return cls.open[-1]
+        if cls.open and not lasting:
+            return cls.open[-1]
+        if cls.program is None:
+            cls.program = cls(spark)
+            atexit.register(cls.program._at_end)
+        return cls.program
 
     def _at_end(self) -> None:
         with contextlib.suppress(Exception):  # the session may be gone, and its folders with it
             self.clear()
 
 
-def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
-    """A fresh path below the shared folder, removed by its owner (see ``Staging``) unless it is to be kept."""
+def new_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    """A fresh path below the shared folder, removed by its owner (see ``Staging``), or at the end of the program if it is ``lasting``."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if not keep:
-        Staging.owner(spark).paths.append(path)
+    Staging.owner(spark, lasting).paths.append(path)
     return path
 
 
