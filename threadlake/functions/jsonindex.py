@@ -45,16 +45,16 @@ class StructuralIndex:
         row_start = ends - size - 1
         b = np.frombuffer(self.buf, np.uint8)
         n, rows = len(b), len(texts)
-        at = np.arange(n, dtype=np.int64)
-        row = np.repeat(np.arange(rows), size + 1)
+        at = np.arange(n, dtype=np.int32)  # a text is below 2 GB
+        row = np.repeat(np.arange(rows, dtype=np.int32), size + 1)
 
         # Quotes that aren't escaped: a byte is escaped after an odd run of backslashes.
         back = b == _BACK
-        run = at - np.maximum.accumulate(np.where(back, -1, at))
+        run = at - np.maximum.accumulate(np.where(back, np.int32(-1), at))
         escaped = np.zeros(n, bool)
         escaped[1:] = (back & (run % 2 == 1))[:-1]
         quote = (b == _QUOTE) & ~escaped
-        seen = np.cumsum(quote)
+        seen = np.cumsum(quote, dtype=np.int32)
         parity = (seen - (seen[row_start] - quote[row_start])[row]) & 1
         inside = parity == 1  # from the opening quote to before the closing one
         plain = ~inside & ~quote
@@ -70,7 +70,7 @@ class StructuralIndex:
         # Depth by prefix sums over brackets outside strings.
         bracket = plain & _BRACKET[b]
         step = np.where(bracket, _STEP[b], 0)
-        total = np.cumsum(step)
+        total = np.cumsum(step, dtype=np.int32)
         depth = total - (total[row_start] - step[row_start])[row]
         bad[row[depth < 0]] = True
         bad[depth[ends - 1] != 0] = True

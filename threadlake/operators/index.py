@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import math
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,14 +75,17 @@ class LexicalIndex:
         small = sum(x.keys for x in layers) <= MAX_BROADCAST_KEYS
         return rows.join(F.broadcast(newest) if small else newest, ["key", "v"], "left_semi")
 
-    def _write(self, version: int, keys: DataFrame, docs: DataFrame, postings: DataFrame, rows: int, n_keys: int) -> Layer:
-        buckets = max(1, math.ceil(rows / BUCKET_ROWS))
+    def _write(self, version: int, keys: DataFrame, docs: DataFrame, postings: DataFrame, expected: int, n_keys: int) -> Layer:
+        """A layer of ``expected`` postings, or fewer. They are dealt by hash, as ranges would need to be found in a first pass over all counts."""
+        buckets = max(1, math.ceil(expected / BUCKET_ROWS))
         keys.write.mode("overwrite").parquet(f"{self.path}/keys/v={version}")
         docs.write.mode("overwrite").parquet(f"{self.path}/docs/v={version}")
         dealt = postings.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-        dealt = in_tasks(dealt, buckets, "part") if buckets > 1 else dealt.repartitionByRange(self.spark.sparkContext.defaultParallelism, "term")
+        cores = self.spark.sparkContext.defaultParallelism
+        dealt = in_tasks(dealt, buckets, "part") if buckets >= cores else in_tasks(dealt, cores, "part", "term")
         dealt.sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/postings/v={version}")
-        return Layer(version, buckets, rows, n_keys)
+        layer = Layer(version, buckets, 0, n_keys)
+        return replace(layer, rows=self._read("postings", self.POSTINGS, [layer]).count())
 
     def refresh(self, docs: DataFrame, key_col: str, id_col: str, text_col: str, removed: DataFrame | None = None) -> None:
         """Replace the documents of every key in ``docs``, and drop the keys in ``removed`` (a column of that name).
@@ -98,8 +101,8 @@ class LexicalIndex:
         if removed is not None:
             keys = keys.unionByName(removed.select(key.alias("key")))
         keys = staged(keys.distinct(), "keys")
-        postings = staged(counts.join(lengths, ["key", "doc_id"]).select("key", "doc_id", "dl", "term", "tf"), "counted")
-        rows, n_keys = postings.count(), keys.count()
+        postings = counts.join(lengths, ["key", "doc_id"]).select("key", "doc_id", "dl", "term", "tf")
+        rows, n_keys = cut.agg(F.coalesce(F.sum(F.size("t")), F.lit(0))).first()[0], keys.count()
         if not n_keys:
             return
         at = self.version + 1
