@@ -3,16 +3,18 @@
 Formats (mail addresses, phone and identity numbers, street addresses) are found by patterns and validated; names of people by the
 list of known names and, for names that aren't in it, by word parts learned from that list. A placeholder keeps a pseudonym: numbers and
 dates are permuted by a keyed Feistel network within their own format, so the text stays readable and equal values stay
-linked in all documents, however they are written; words get a keyed tag. Rows are independent: no shuffle.
+linked in all documents, however they are written; words get a keyed tag. Rows are independent: no shuffle, but for word lists too long for a task.
 """
 
 from __future__ import annotations
 
+import copy
 import datetime as dt
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -124,10 +126,12 @@ PLAIN_PAIR = re.compile(rf"(?<![\w./@#_\\-])(?P<first>{_TWO}) (?P<second>{_TWO})
 
 
 class WordShape:
-    """How much more a word looks like one sort of words than like another: the mean log ratio of its letter pairs and triples in the two."""
+    """How much more a word looks like one sort of words than like another: the mean log ratio of its letter pairs and triples in the two.
 
-    def __init__(self, like: set[str], unlike: set[str]):
-        one, other = (Counter(g for w in sorted(words) for g in self.grams(w)) for words in (like, unlike))
+    ``one`` and ``other`` are those of all words of the two sorts, counted (``counts``).
+    """
+
+    def __init__(self, one: Counter, other: Counter):
         size = len({*one, *other}) or 1
         a, b = (math.log(sum(c.values()) + 0.3 * size) for c in (one, other))
         self.ratio = {g: math.log(one[g] + 0.3) - a - math.log(other[g] + 0.3) + b for g in {*one, *other}}
@@ -138,6 +142,10 @@ class WordShape:
         w = f"^{word.lower()}$"
         return [w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1)]
 
+    @classmethod
+    def counts(cls, words: Iterable[str]) -> Counter:
+        return Counter(g for w in words for g in cls.grams(w))
+
     def __call__(self, word: str) -> float:
         grams = self.grams(word)
         return sum(self.ratio.get(g, self.new) for g in grams) / len(grams)
@@ -152,13 +160,19 @@ class NameModel:
 
     With ``ordinary`` words (``ordinary_words``) two capitalised words that are none of them, and look no more like them than ``least_shape`` allows, are
     taken for a name too (``unlisted``).
+
+    Lists too long to hold are learned from outside: ``parts`` are those of given and family names (``learned_parts``), ``grams`` the counts of given names,
+    family names and ordinary words (``gram_counts``). The words themselves then come with each text (``knowing``).
     """
 
-    def __init__(self, given: list[str], family: list[str], least: int = 3, ordinary: list[str] | None = None, least_shape: float = -1.6):
+    def __init__(
+        self, given: list[str], family: list[str], least: int = 3, ordinary: list[str] | None = None, least_shape: float = -1.6, parts: tuple | None = None, grams: tuple[Counter, ...] | None = None
+    ):
         self.known = ({w.lower() for w in given}, {w.lower() for w in family})
         self.ordinary, self.least_shape = frozenset(ordinary or ()), least_shape
-        self.shapes = tuple(WordShape(words, set(self.ordinary)) for words in self.known) if self.ordinary and all(self.known) else None
-        self.parts = tuple(self._learn(words, least) for words in self.known)
+        grams = grams or tuple(map(WordShape.counts, (*self.known, self.ordinary)))
+        self.shapes = tuple(WordShape(own, grams[2]) for own in grams[:2]) if all(grams) else None
+        self.parts = parts or tuple(self._learn(words, least) for words in self.known)
         self.cache: dict[str, int] = {}
         self.plain: set[str] = set()  # words met that are no names
 
@@ -172,11 +186,13 @@ class NameModel:
         productive = frozenset(k for k, v in begins.items() if len(v) >= 2 * least)
         return frozenset(k for k, v in ends.items() if len(v & productive) >= (least if len(k) > 2 else 2 * least)), productive
 
-    def knowing(self, given: list[str], family: list[str]) -> NameModel:
-        """The same word parts with other listed names."""
-        other = NameModel.__new__(NameModel)
-        other.known, other.parts, other.cache, other.plain = (set(given), set(family)), self.parts, {}, set()
-        other.ordinary, other.least_shape, other.shapes = self.ordinary, self.least_shape, self.shapes
+    def knowing(self, given: list[str] | None = None, family: list[str] | None = None, ordinary: list[str] | None = None) -> NameModel:
+        """The same word parts and shapes with other listed names, other ordinary words or both."""
+        other = copy.copy(self)
+        if given is not None:
+            other.known, other.cache, other.plain = (set(given), set(family)), {}, set()
+        if ordinary is not None:
+            other.ordinary = frozenset(ordinary)
         return other
 
     def unlisted(self, first: str, second: str) -> bool:
@@ -325,10 +341,21 @@ class Finder:
 
     def _plain(self, text: str, out: list) -> None:
         """Names by the shape of both words, where nothing else was found."""
+        for m, before in self._pairs(text):
+            if (before is None or before.lower() in self.names.ordinary) and self.names.unlisted(m["first"], m["second"]) and self._free(text, m.span(), out):
+                out.append((*m.span(), "person_name"))
+
+    @staticmethod
+    def _pairs(text: str) -> Iterator[tuple[re.Match, str | None]]:
+        """Two capitalised words, and the word before them unless it begins in lower case."""
         for m in PLAIN_PAIR.finditer(text):
             before = re.search(r"([^\W\d_]+) $", text[max(0, m.start() - 24) : m.start()])
-            if (before is None or before[1][0].islower() or before[1].lower() in self.names.ordinary) and self.names.unlisted(m["first"], m["second"]) and self._free(text, m.span(), out):
-                out.append((*m.span(), "person_name"))
+            yield m, None if before is None or before[1][0].islower() else before[1]
+
+    @classmethod
+    def asked(cls, text: str) -> set[str]:
+        """The words of a text of which ``find`` asks whether they are ordinary."""
+        return {w.lower() for m, before in cls._pairs(text) for w in (m["first"], m["second"], before) if w}
 
     @staticmethod
     def _alone(text: str, a: int, b: int) -> bool:
@@ -533,80 +560,128 @@ FOUND = "row_key string, kind string, value string, pseudonym string"
 CLEAN = struct("row_key string, text string, n_found int")
 
 
-def name_lists(names: DataFrame, part_col: str = "name_part", form_col: str = "form", max_names: int = 200_000) -> tuple[list[str], list[str]]:
-    """The listed given and family names, for the driver and then every task; of a list above ``max_names`` those that come first by hash.
+def _listed(names: DataFrame, part_col: str = "name_part", form_col: str = "form") -> DataFrame:
+    """Distinct ``part, word`` in lower case."""
+    return names.select(F.lower(F.col(part_col)).alias("part"), F.lower(F.col(form_col)).alias("word")).where("word IS NOT NULL").distinct()
 
-    What ``max_names`` leaves out is found by ``listed_words``; it bounds the names that word parts are learned from.
+
+def name_lists(names: DataFrame, part_col: str = "name_part", form_col: str = "form", max_names: int = 200_000) -> tuple[list[str], list[str]] | None:
+    """All listed given and family names, for the driver and then every task; None if there are more than ``max_names``.
+
+    Of a longer list word parts and shapes are learned by Spark (``learned_parts``, ``gram_counts``), and its names are found by ``own_words``.
     """
-    rows = names.select(F.lower(F.col(part_col)).alias("p"), F.col(form_col).alias("f")).where(F.col(form_col).isNotNull()).distinct()
-    rows = rows.orderBy(F.xxhash64("f"), "f", "p").limit(max_names).collect()
-    return [f for p, f in rows if p == "given"], [f for p, f in rows if p == "family"]
+    rows = _listed(names, part_col, form_col).limit(max_names + 1).collect()
+    return None if len(rows) > max_names else tuple([r.word for r in rows if r.part == p] for p in ("given", "family"))
 
 
-def ordinary_words(df: DataFrame, text_col: str, sample_texts: int = 20_000, most: int = 50_000) -> list[str]:
-    """Words in lower case that at least two of ``sample_texts`` texts hold, the ``most`` frequent ones: what names are told from.
+def learned_parts(listed: DataFrame, least: int = 3) -> tuple[tuple[frozenset, frozenset], ...]:
+    """What ``NameModel`` learns from given and from family names, of a list (``part, word``) of any size."""
+    cuts = F.transform(F.sequence(F.lit(2), F.length("word") - 2), lambda i: F.struct(F.substring("word", F.lit(1), i).alias("a"), F.substring("word", i + 1, F.length("word")).alias("b")))
+    cut = listed.where(F.length("word") >= 4).select("part", F.explode(cuts).alias("cut")).select("part", "cut.a", "cut.b")
+    ends = cut.groupBy("part", "b").agg(F.count("*").alias("n")).where(F.col("n") >= 2 * least).select("part", "b")
+    begins = cut.join(ends, ["part", "b"]).groupBy("part", "a").agg(F.count("*").alias("n")).where(F.col("n") >= F.when(F.length("a") > 2, least).otherwise(2 * least))
+    rows = begins.select("part", F.lit(0).alias("at"), F.col("a").alias("piece")).unionAll(ends.select("part", F.lit(1), "b")).collect()
+    return tuple(tuple(frozenset(r.piece for r in rows if (r.part, r.at) == (p, at)) for at in (0, 1)) for p in ("given", "family"))
 
-    A bounded sample to fit the shape of words on; nothing is counted or dropped by it elsewhere.
-    """
-    texts = df.select(F.col(f"`{text_col}`").cast("string").alias("text")).where("text IS NOT NULL AND text != ''").limit(sample_texts)
+
+def gram_counts(words: DataFrame) -> Counter:
+    """``WordShape.counts`` of a table ``word`` of any size; bounded by the letters there are, not by the words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = WordShape.counts(w for batch in batches for w in batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["gram", "n"])
+
+    return Counter({r.gram: r.n for r in words.select("word").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()})
+
+
+def ordinary_counts(df: DataFrame, text_col: str) -> DataFrame:
+    """Words in lower case that at least two of all texts hold, and in how many: ``word, n``; what names are told from."""
+    texts = df.select(F.col(f"`{text_col}`").cast("string").alias("text")).where("text IS NOT NULL AND text != ''")
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{N}_'’-])\p{Ll}{3,}(?![\p{L}\p{N}_'’-])"), 0))).alias("word"))
-    often = words.groupBy("word").agg(F.count("*").alias("n")).where("n >= 2")
-    return sorted(r.word for r in often.orderBy(F.col("n").desc(), "word").limit(most).collect())
+    return words.groupBy("word").agg(F.count("*").alias("n")).where("n >= 2")
 
 
-def listed_words(df: DataFrame, names: DataFrame, part_col: str = "name_part", form_col: str = "form") -> DataFrame:
-    """``df`` (``row_key, text``) with ``given`` and ``family``, the listed names among the words of each text, by a join of words and names.
+def ordinary_words(df: DataFrame, text_col: str, most: int | None = None) -> list[str]:
+    """``ordinary_counts`` as a list, all of them unless only the ``most`` frequent ones are asked for."""
+    often = ordinary_counts(df, text_col)
+    return sorted(r.word for r in (often if most is None else often.orderBy(F.col("n").desc(), "word").limit(most)).collect())
+
+
+def own_words(df: DataFrame, listed: DataFrame | None, ordinary: DataFrame | None) -> DataFrame:
+    """``df`` (``row_key, text``) with ``given`` and ``family``, the listed names (``part, word``) among the words of each text, and ``ordinary``, those
+    words of which ``Finder`` asks that are in that table (``word``); each by a join, and only for the tables that are passed.
 
     For lists of any size: words are counted once per row, and a row gets back no more than its own words.
     """
     rows = staged(df.withColumn("row_no", F.monotonically_increasing_id()), "texts")
-    words = rows.select("row_no", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+(?:[’'-][\p{L}]{2,})*"), 0))).alias("word"))
-    listed = names.select(F.lower(F.col(part_col)).alias("part"), F.lower(F.col(form_col)).alias("word")).where("word IS NOT NULL").distinct()
-    of_part = {p: F.collect_set(F.when(F.col("part") == p, F.col("word"))).alias(p) for p in ("given", "family")}
-    found = words.join(listed, "word").groupBy("row_no").agg(*of_part.values())
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(no, w) for no, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text for w in Finder.asked(text)]
+            yield pa.RecordBatch.from_arrays([pa.array([no for no, _ in found], pa.int64()), pa.array([w for _, w in found], pa.string())], names=["row_no", "word"])
+
+    found, parts = [], []
+    if listed is not None:
+        words = rows.select("row_no", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+(?:[’'-][\p{L}]{2,})*"), 0))).alias("word"))
+        found.append(words.join(listed, "word"))
+        parts += ["given", "family"]
+    if ordinary is not None:
+        found.append(rows.select("row_no", "text").mapInArrow(asked, "row_no long, word string").join(ordinary.select("word", F.lit("ordinary").alias("part")), "word"))
+        parts.append("ordinary")
+    by_row = reduce(DataFrame.unionByName, found).groupBy("row_no").agg(*[F.collect_set(F.when(F.col("part") == p, F.col("word"))).alias(p) for p in parts])
     none = F.array().cast("array<string>")
-    return rows.join(found, "row_no", "left").select("row_key", "text", *[F.coalesce(p, none).alias(p) for p in of_part])
+    return rows.join(by_row, "row_no", "left").select("row_key", "text", *[F.coalesce(p, none).alias(p) for p in parts])
 
 
 def _rows(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{key_col}`").cast("string").alias("row_key"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
-def _with_names(df: DataFrame, names: DataFrame, max_names: int) -> tuple[DataFrame, tuple[list[str], list[str]]]:
-    """``df`` ready for a finder, and the names every task holds; a longer list comes to each row as its own words."""
-    lists = name_lists(names, max_names=max_names)
-    return (listed_words(df, names), lists) if len(lists[0]) + len(lists[1]) >= max_names else (df, lists)
-
-
-def _finders(lists: tuple[list[str], list[str]], ordinary: list[str] | None) -> Callable[[pa.RecordBatch], Iterator[Finder]]:
-    """A finder for each row of a batch: one for all, unless rows bring names of their own."""
-    model = NameModel(*lists, ordinary=ordinary)
+def _with_model(df: DataFrame, names: DataFrame, ordinary: DataFrame | list[str] | None, max_names: int, max_words: int) -> tuple[DataFrame, NameModel]:
+    """``df`` ready for a finder, and the model every task holds, learned from all names and all ordinary words; longer lists come to each row as its own words."""
+    lists, listed, long_ordinary = name_lists(names, max_names=max_names), None, None
+    if isinstance(ordinary, DataFrame):
+        words = [r.word for r in ordinary.select("word").limit(max_words + 1).collect()]
+        ordinary, long_ordinary = (words, None) if len(words) <= max_words else (None, ordinary)
+    if lists is None:
+        listed = staged(_listed(names), "names")
+    if lists and long_ordinary is None:
+        return df, NameModel(*lists, ordinary=ordinary)
+    shapes = [gram_counts(listed.where(F.col("part") == p)) for p in ("given", "family")] if lists is None else [*map(WordShape.counts, map(set, lists))]
+    shapes.append(WordShape.counts(set(ordinary or ())) if long_ordinary is None else gram_counts(long_ordinary))
+    model = NameModel(*(lists or ([], [])), ordinary=ordinary, parts=None if lists else learned_parts(listed), grams=tuple(shapes))
+    return own_words(df, listed, long_ordinary), model
+
+
+def _finders(model: NameModel) -> Callable[[pa.RecordBatch], Iterator[Finder]]:
+    """A finder for each row of a batch: one for all, unless rows bring words of their own."""
     one = Finder(model)
 
     def of(batch: pa.RecordBatch) -> Iterator[Finder]:
-        if batch.num_columns == 2:
+        own = batch.schema.names[2:]
+        if not own:
             return (one for _ in range(batch.num_rows))
-        return (Finder(model.knowing(g, f)) for g, f in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
+        return (Finder(model.knowing(**dict(zip(own, row, strict=True)))) for row in zip(*[batch.column(x).to_pylist() for x in own], strict=True))
 
     return of
 
 
-def scan_pii(df: DataFrame, key_col: str, text_col: str, names: DataFrame, key: bytes, max_names: int = 200_000, pseudonyms: bool = True, ordinary: list[str] | None = None) -> DataFrame:
+def scan_pii(df: DataFrame, key_col: str, text_col: str, names: DataFrame, key: bytes, max_names: int = 200_000, pseudonyms: bool = True, ordinary: DataFrame | list[str] | None = None, max_words: int = 200_000) -> DataFrame:
     """Distinct passages per row: ``row_key, kind, value`` and, if asked for, ``pseudonym``, found and replaced in one pass.
 
     ``value`` is the passage in lower case, letters and digits only. That of a number or date is read back from its pseudonym by undoing the permutation, so
-    what comes out has a pseudonym that stands for it and nothing else; if it didn't, the task would fail. With ``ordinary`` words names are also found by their
-    shape.
+    what comes out has a pseudonym that stands for it and nothing else; if it didn't, the task would fail. With ``ordinary`` words (a table with
+    ``word``, or a list) names are also found by their shape. Lists above ``max_names`` and ``max_words`` are as whole as shorter ones, but come to the texts by joins.
 
     Defined results: null and empty texts give nothing; repeated rows give repeated results; a text of any length is read whole; other
     columns are ignored; without known names only formats, and names after a strong cue, are found; an empty table gives no rows.
     """
-    rows, lists = _with_names(_rows(df, key_col, text_col).where(F.col("text").isNotNull() & (F.col("text") != "")), names, max_names)
+    rows, model = _with_model(_rows(df, key_col, text_col).where(F.col("text").isNotNull() & (F.col("text") != "")), names, ordinary, max_names, max_words)
     schema = struct(FOUND if pseudonyms else FOUND.rsplit(",", 1)[0])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finders, keyed = _finders(lists, ordinary), Pseudonyms(key)
+        finders, keyed = _finders(model), Pseudonyms(key)
         for batch in batches:
             out: list[tuple] = []
             for row_key, text, finder in zip(batch.column(0).to_pylist(), batch.column(1), finders(batch), strict=True):
@@ -625,22 +700,22 @@ def scan_pii(df: DataFrame, key_col: str, text_col: str, names: DataFrame, key:
     return rows.mapInArrow(run, schema)
 
 
-def find_pii(df: DataFrame, key_col: str, text_col: str, names: DataFrame, key: bytes = b"any", max_names: int = 200_000, ordinary: list[str] | None = None) -> DataFrame:
+def find_pii(df: DataFrame, key_col: str, text_col: str, names: DataFrame, key: bytes = b"any", max_names: int = 200_000, ordinary: DataFrame | list[str] | None = None, max_words: int = 200_000) -> DataFrame:
     """Distinct values per row: ``row_key, kind, value`` of ``scan_pii``; a value that is written in two ways in one row counts once."""
-    return scan_pii(df, key_col, text_col, names, key, max_names, pseudonyms=False, ordinary=ordinary)
+    return scan_pii(df, key_col, text_col, names, key, max_names, pseudonyms=False, ordinary=ordinary, max_words=max_words)
 
 
-def redact(df: DataFrame, key_col: str, text_col: str, names: DataFrame, key: bytes, max_names: int = 200_000, ordinary: list[str] | None = None) -> DataFrame:
+def redact(df: DataFrame, key_col: str, text_col: str, names: DataFrame, key: bytes, max_names: int = 200_000, ordinary: DataFrame | list[str] | None = None, max_words: int = 200_000) -> DataFrame:
     """The same texts with a typed placeholder for each passage: ``row_key, text, n_found``.
 
     ``key`` is the secret of the pseudonyms: equal values get equal placeholders under the same key. Defined results as in ``scan_pii``, but
     every row comes out; a null text stays null.
     """
-    rows, lists = _with_names(_rows(df, key_col, text_col), names, max_names)
+    rows, model = _with_model(_rows(df, key_col, text_col), names, ordinary, max_names, max_words)
     arrow = to_arrow_schema(CLEAN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finders, pseudonyms = _finders(lists, ordinary), Pseudonyms(key)
+        finders, pseudonyms = _finders(model), Pseudonyms(key)
         for batch in batches:
             texts, counts = [], []
             for text, finder in zip(batch.column(1).to_pylist(), finders(batch), strict=True):

@@ -26,9 +26,15 @@ def p1_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 DEMO_KEY = b"threadlake demonstration key"
 
 
+def _ordinary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ordinary words of both tables' texts."""
+    texts = table(spark, sf_dir, "messages").select(F.col("content_text").alias("text")).unionAll(table(spark, sf_dir, "chunks").select("text"))
+    return staged(pii.ordinary_counts(texts, "text"), "ordinary")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "known_names")
-    ordinary = pii.ordinary_words(table(spark, sf_dir, "messages"), "content_text")
+    ordinary = _ordinary(spark, sf_dir)
     messages = pii.find_pii(table(spark, sf_dir, "messages"), "line_id", "content_text", names, ordinary=ordinary)
     chunks = pii.find_pii(table(spark, sf_dir, "chunks"), "id", "text", names, ordinary=ordinary).distinct()  # some rows repeat exactly
     return messages.withColumn("source_table", F.lit("messages")).unionByName(chunks.withColumn("source_table", F.lit("chunks"))).select("source_table", "row_key", "kind", "value").where("kind != 'birth_date'")
@@ -37,7 +43,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both tables' texts with placeholders."""
     names = table(spark, sf_dir, "known_names")
-    ordinary = pii.ordinary_words(table(spark, sf_dir, "messages"), "content_text")
+    ordinary = _ordinary(spark, sf_dir)
     messages = pii.redact(table(spark, sf_dir, "messages"), "line_id", "content_text", names, DEMO_KEY, ordinary=ordinary)
     chunks = pii.redact(table(spark, sf_dir, "chunks"), "id", "text", names, DEMO_KEY, ordinary=ordinary)
     return messages.withColumn("source_table", F.lit("messages")).unionByName(chunks.withColumn("source_table", F.lit("chunks")))
